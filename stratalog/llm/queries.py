@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from stratalog.llm.encode import decoded, token_counts, token_ids
 from stratalog.llm.packing import pack
+from stratalog.llm.pii import find, redact, trained
 from stratalog.runtime import written
 
 #: Tokens of a container.
 CAPACITY = 512
+#: Bound of the lists of given names and brands that the detector takes.
+MOST_NAMES = 10_000
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -44,5 +47,25 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return per.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), F.ceil(F.sum("tokens") / CAPACITY).alias("bound"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_found": p7_found, "p7_placed": p7_placed, "p7_fill": p7_fill}
+def _names(spark: SparkSession, d: str, table: str, column: str) -> tuple[str, ...]:
+    """A short fixed list; a longer one than MOST_NAMES is refused rather than gathered."""
+    names = [r[0] for r in spark.read.parquet(f"{d}/{table}.parquet").select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_NAMES + 1).collect()]
+    if len(names) > MOST_NAMES:
+        raise ValueError(f"{table}.{column} is no short list")
+    return tuple(sorted(names))
+
+
+def _detector(spark: SparkSession, d: str):
+    return trained(_names(spark, d, "given_names", "given_name"), _names(spark, d, "items", "brand"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return find(_documents(spark, d), _detector(spark, d))
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redact(_documents(spark, d), _detector(spark, d))
+
+
+QUERIES = {"p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_found": p7_found, "p7_placed": p7_placed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_redacted": p8_redacted}
 SQL = {"p6_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.runtime import broadcast_if_small
+from stratalog.runtime import broadcast_if_small, free_names
 
 #: Ids of one block share a join key.
 BLOCK = 4096
@@ -35,14 +35,14 @@ def within_ranges(df: DataFrame, ranges: DataFrame, group: str, id: str, flag: s
     The ranges are merged first, so a row meets at most one; they are cut at block borders, and rows and ranges join on
     (group, block). The cut ranges are broadcast when their count is small, and shuffled otherwise.
     """
+    g, lo, hi, b, block = free_names(df, "_g", "_lo", "_hi", "_b", "_block")
     cut = ranges.select(
-        F.col(group).alias("_g"), "lo", "hi",
-        F.explode(F.sequence(F.expr(f"lo div {BLOCK}"), F.expr(f"hi div {BLOCK}"))).alias("_b"),
+        F.col(group).alias(g), F.col("lo").alias(lo), F.col("hi").alias(hi),
+        F.explode(F.sequence(F.expr(f"lo div {BLOCK}"), F.expr(f"hi div {BLOCK}"))).alias(b),
     )
-    rows = df.withColumn("_block", F.expr(f"`{id}` div {BLOCK}"))
-    joined = rows.join(
+    joined = df.withColumn(block, F.expr(f"`{id}` div {BLOCK}")).join(
         broadcast_if_small(cut),
-        (F.col(group) == F.col("_g")) & (F.col("_block") == F.col("_b")) & F.col(id).between(F.col("lo"), F.col("hi")),
+        (F.col(group) == F.col(g)) & (F.col(block) == F.col(b)) & F.col(id).between(F.col(lo), F.col(hi)),
         "left",
     )
-    return joined.withColumn(flag, F.col("_b").isNotNull()).drop("_g", "_b", "lo", "hi", "_block")
+    return joined.withColumn(flag, F.col(b).isNotNull()).drop(g, lo, hi, b, block)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.runtime import fresh_path, in_arrow, shuffle_partitions
+from stratalog.runtime import free_names, fresh_path, in_arrow, shuffle_partitions
 
 #: Time buckets; the buckets that an identifier may occur in are the bits of a long.
 TIME_BUCKETS = 32
@@ -154,6 +154,7 @@ def split_deliveries(rows: DataFrame, key: str, version: str, arrival: str, keep
     kept. An empty table gives no rows.
     """
     a, h = _marked(rows, key, version, arrival)
-    first = keepers(rows, key, version, arrival, time_buckets).toDF("_first", "_identifier")
-    on = (a == F.col("_first")) & (h == F.col("_identifier"))
+    at, identifier = free_names(rows, "_first", "_identifier")
+    first = keepers(rows, key, version, arrival, time_buckets).toDF(at, identifier)
+    on = (a == F.col(at)) & (h == F.col(identifier))
     return rows.join(first, on, "left_semi" if keep else "left_anti")

@@ -54,6 +54,18 @@ def fingerprint(*columns: Column | str) -> Column:
     return F.xxhash64(*[x for c in cols for x in (c, c.isNull())])
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that ``df`` has not, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

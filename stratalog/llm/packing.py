@@ -94,7 +94,8 @@ def pack(items: DataFrame, id: str, size: str, capacity: int, most_open: int = O
     moves = None
     while (n := left.count()) > 1:
         parts = -(-n // (most_open * FAN_IN))
-        merged = written(_merge(left, parts, capacity, most_open * FAN_IN), "merged")
+        # a round leaves at most most_open containers open in each partition, a FAN_IN-th of what it got
+        merged = written(_merge(left, parts, capacity, most_open if parts > 1 else n), "merged")
         step = merged.select(F.col("container").alias("from"), F.col("target").alias("to"))
         moves = step if moves is None else (
             moves.join(step.toDF("to", "then"), "to", "left").select("from", F.coalesce("then", "to").alias("to"))

@@ -31,11 +31,13 @@ class KeyLedger:
         self.log = VersionLog(spark, root)
         self.buckets = self.log.current()[1].get("buckets") or buckets or shuffle_partitions(spark)
 
-    def _write(self, keys: DataFrame) -> str:
+    def _write(self, keys: DataFrame, grouped: bool = True) -> str:
         """Write distinct keys ``(key, first)`` as a bucketed segment."""
         name = f"ledger_{uuid.uuid4().hex}"
+        # keys come grouped by key; only another number of partitions has to be changed into that of the buckets
+        placed = keys if grouped and self.buckets == shuffle_partitions(self.spark) else keys.repartition(self.buckets, "key")
         (
-            keys.repartition(self.buckets, "key").sortWithinPartitions("key")
+            placed.sortWithinPartitions("key")
             .write.bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.root}/{name}").saveAsTable(name)
         )
         return name
@@ -97,7 +99,7 @@ class KeyLedger:
             part = self._segment(s["name"])
             union = part if union is None else union.unionByName(part)
         batches = document.get("merged", []) + [s["batch"] for s in old if s["batch"] != "merged"]
-        merged = {"batch": "merged", "name": self._write(union.select("key", F.lit(None).cast("long").alias("first")))}
+        merged = {"batch": "merged", "name": self._write(union.select("key", F.lit(None).cast("long").alias("first")), grouped=False)}
         self._publish(number, [merged] + [s for s in document["segments"] if s["name"] == keep], batches)
 
     def keys(self) -> DataFrame:

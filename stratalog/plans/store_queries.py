@@ -178,10 +178,8 @@ def run_round_trip(spark, d):
 
 @contextmanager
 def _store(spark: SparkSession, **options):
-    """A store in a folder of its own; local, as its log of single writes is."""
-    import tempfile
-
-    with Store(spark, "file://" + tempfile.mkdtemp(prefix="stratalog-store-"), **options) as store:
+    """A store in a folder of its own."""
+    with Store(spark, fresh_path(spark, "store"), **options) as store:
         yield store
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import shutil
 import tempfile
@@ -32,8 +33,33 @@ def shared_dir(spark: SparkSession) -> str:
     raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stratalog/{spark.sparkContext.applicationId}"
+
+
+_CLEANED: set[str] = set()
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/stratalog/{what}-{uuid.uuid4().hex}"
+    """A new path for intermediate data; it is deleted when the application ends in order, or by ``clean``."""
+    folder = _own_folder(spark)
+    if folder not in _CLEANED:
+        _CLEANED.add(folder)
+        atexit.register(_clean_at_exit, spark)
+    return f"{folder}/{what}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate data of this application; results that still read it can't be evaluated afterwards."""
+    SharedFiles(spark).delete(_own_folder(spark))
+
+
+def _clean_at_exit(spark: SparkSession) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            clean(spark)
+    except Exception:  # noqa: BLE001 - the JVM may have ended first
+        pass
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -85,6 +111,19 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(shutil.make_archive(str(folder / package.name), "zip", folder / "src"))
 
 
+#: An input of fewer bytes per core is spread over the cores before Python works on it.
+LEAST_BYTES_PER_CORE = 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input that is too small for Spark to split, where a row costs much more than its
+    bytes. Larger inputs come in enough partitions and are not shuffled."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * LEAST_BYTES_PER_CORE else df
+
+
 def in_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` with this package at hand on the workers."""
     ship(df.sparkSession)

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from stratalog.llm.bpe import TOKENIZERS, StreamDecoder, encode, vocabulary
-from stratalog.runtime import in_arrow
+from stratalog.runtime import in_arrow, spread
 
 #: Texts of a batch whose ids are held at a time.
 ROWS = 256
@@ -21,7 +21,7 @@ def _with_ids(df: DataFrame, id: str, text: str, name: str, folder: str, make, k
                 yield make(v, part.column(0), part.column(1))
 
     rows = df.select(df[id].alias("id"), df[text].alias("text"))
-    return in_arrow(rows, run, f"id {dict(df.dtypes)[id]}, {kind}")
+    return in_arrow(spread(rows), run, f"id {dict(df.dtypes)[id]}, {kind}")
 
 
 def token_ids(df: DataFrame, id: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from stratalog.llm.boosting import BoostedTrees
 from stratalog.llm.pii_candidates import KINDS, Candidate, Lexicon, candidates
 from stratalog.llm.pii_training import Writer
-from stratalog.runtime import in_arrow
+from stratalog.runtime import in_arrow, spread
 
 #: Texts that the models are trained on, and texts that set the thresholds. Both are written, not taken from the data.
-TRAINING_TEXTS, THRESHOLD_TEXTS = 5_000, 1_500
+TRAINING_TEXTS, THRESHOLD_TEXTS = 8_000, 2_500
 #: Texts whose candidates are scored together.
 ROWS = 512
 
@@ -52,13 +52,23 @@ class Detector:
     def _selected(self, scored: list[tuple[float, Candidate]]) -> list[tuple[str, int, int]]:
         """Accepted candidates that lie in no other of their kind, the most probable first, of equals the longer one,
         then the earlier one."""
+        good = sorted(((p, c) for p, c in scored if p >= self.thresholds[c.kind]), key=lambda x: (x[1].start, x[1].end))
         taken: list[tuple[str, int, int]] = []
-        good = [(p, c) for p, c in scored if p >= self.thresholds[c.kind]]
-        good = [(p, c) for p, c in good if not any(d.kind == c.kind and d.start <= c.start and c.end <= d.end and (d.start, d.end) != (c.start, c.end) for _, d in good)]
-        for _, c in sorted(good, key=lambda x: (-round(x[0], 2), x[1].start - x[1].end, x[1].start, x[1].kind)):
-            if all(c.end <= a or b <= c.start for _, a, b in taken):
-                taken.append((c.kind, c.start, c.end))
-        return sorted(taken, key=lambda m: m[1])
+        at = 0
+        while at < len(good):  # one stretch of overlapping candidates after the other
+            to, end = at + 1, good[at][1].end
+            while to < len(good) and good[to][1].start < end:
+                end = max(end, good[to][1].end)
+                to += 1
+            stretch = good[at:to]
+            whole = [(p, c) for p, c in stretch if not any(d.kind == c.kind and d.start <= c.start and c.end <= d.end and (d.start, d.end) != (c.start, c.end) for _, d in stretch)]
+            here: list[tuple[str, int, int]] = []
+            for _, c in sorted(whole, key=lambda x: (-round(x[0], 2), x[1].start - x[1].end, x[1].start, x[1].kind)):
+                if all(c.end <= a or b <= c.start for _, a, b in here):
+                    here.append((c.kind, c.start, c.end))
+            taken += sorted(here, key=lambda m: m[1])
+            at = to
+        return taken
 
     def redacted(self, text: str | None, mentions: list[tuple[str, int, int]]) -> str | None:
         if text is None:
@@ -101,7 +111,7 @@ def find(df: DataFrame, detector: Detector, id: str = "doc_id", text: str = "tex
                 [ids.take(pa.array([f[0] for f in flat], pa.int64())), pa.array([f[1] for f in flat], pa.string()), pa.array([f[2] for f in flat], pa.int64())], ["id", "kind", "first_char"]
             )
 
-    return in_arrow(df.select(df[id].alias("id"), df[text].alias("text")), run, f"id {dict(df.dtypes)[id]}, kind string, first_char long").toDF(id, "kind", "first_char")
+    return in_arrow(spread(df.select(df[id].alias("id"), df[text].alias("text"))), run, f"id {dict(df.dtypes)[id]}, kind string, first_char long").toDF(id, "kind", "first_char")
 
 
 def redact(df: DataFrame, detector: Detector, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -111,7 +121,7 @@ def redact(df: DataFrame, detector: Detector, id: str = "doc_id", text: str = "t
         for ids, texts, mentions in _found(batches, detector):
             yield pa.RecordBatch.from_arrays([ids, pa.array([detector.redacted(t, m) for t, m in zip(texts, mentions, strict=True)], pa.string())], ["id", "text"])
 
-    return in_arrow(df.select(df[id].alias("id"), df[text].alias("text")), run, f"id {dict(df.dtypes)[id]}, text string").toDF(id, "text")
+    return in_arrow(spread(df.select(df[id].alias("id"), df[text].alias("text"))), run, f"id {dict(df.dtypes)[id]}, text string").toDF(id, "text")
 
 
 def _found(batches, detector: Detector):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from typing import NamedTuple
 
@@ -24,22 +25,25 @@ CUES = {
     "person": r"regards|signed|thanks|thank you|spoke to|ask for|\bi,|wife|husband|brother|sister|the one of|refund to|under|daughter|son\b|saludo|firmado|hablé|avisen|devolver|gracias|cordialement|signé|parlé|rappelez|chez|merci|grüße|gez\.|telefoniert|habe mit|lag bei|rücksendung an|様|さん",
 }
 _CUES = {k: regex.compile(v) for k, v in CUES.items()}
-_BREAK = regex.compile(r"(?<=[\w)>]{4})[.!?]\s|[。！？\n\r]|<br>|\s{2,}")
+_BREAK = regex.compile(r"(?<=\w{2})[!?]\s|(?<=[\w)>]{4})\.\s|[。！？\n\r]|<br>|\s{2,}")
 
 _AT = r"(?:@| @ |\s?\((?:at|AT)\)\s?|\s?\[(?:at|AT)\]\s?|\s?\{(?:at|AT)\}\s?)"
 _DOT = r"(?:\.| \. |\s?\((?:dot|DOT)\)\s?|\s?\[(?:dot|DOT)\]\s?|\s?\{(?:dot|DOT)\}\s?)"
 _LABEL = r"[A-Za-z0-9À-ɏ](?:[A-Za-z0-9À-ɏ-]*[A-Za-z0-9À-ɏ])?"
-_LOCAL = rf"[{LETTER}0-9_%+][{LETTER}0-9._%+'-]*"
+_LOCAL = rf"[{LETTER}0-9_%+][{LETTER}0-9_%+'-]*+"
 _EMAILS = [
-    regex.compile(rf"{_LOCAL}(?:{_DOT}{_LOCAL})*?{_AT}{_LABEL}(?:{_DOT}{_LABEL})+"),
-    regex.compile(rf"(?i){_LOCAL} at {_LABEL}(?: dot {_LABEL})+"),
+    regex.compile(rf"{_LOCAL}(?:{_DOT}{_LOCAL})*+{_AT}{_LABEL}(?:{_DOT}{_LABEL})+"),
+    regex.compile(rf"(?i){_LOCAL}(?:(?:\.| dot ){_LOCAL})*+ at {_LABEL}(?: dot {_LABEL})+"),
 ]
+_MARKERS = [regex.compile(r"(?i)@|[(\[{]at[)\]}]"), regex.compile(r"(?i) at \S+ dot ")]
+#: Characters before and after the sign within which an address is looked for; standards allow no longer ones.
+_REACH = 330
 _DIGITS = ("zero|oh|one|two|three|four|five|six|seven|eight|nine|null|eins|zwei|zwo|drei|vier|fünf|sechs|sieben|acht|neun|zéro|un|deux|trois|quatre|cinq|sept|huit|neuf|cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve")
-_GROUP = r"(?:\(\d{1,5}\)|\d+)"
+_GROUP = r"(?:\(\d{1,5}\)|\d++)"
 #: No letter or digit of a script that separates words; kana and kanji may stand directly beside a mention.
 _W = r"[A-Za-z0-9_À-ɏ]"
 _NUMBERS = [
-    regex.compile(rf"(?<![A-Za-z0-9_À-ɏ#+.,/-])\+?{_GROUP}(?:(?:[ ./-]|(?<=\))|(?=\())?{_GROUP})*(?!{_W})"),
+    regex.compile(rf"(?<![A-Za-z0-9_À-ɏ#+.,/-])\+?{_GROUP}(?:(?:[ ./-]|(?<=\))|(?=\()|\) ){_GROUP})*+(?!{_W})"),
     regex.compile(rf"(?i)(?<!{_W})(?:(?:double |triple )?(?:{_DIGITS})[ ,-]+){{5,}}(?:{_DIGITS})(?!{_W})"),
     regex.compile(r"[〇零一二三四五六七八九]{7,}"),
     regex.compile(rf"(?i)(?<![A-Za-z0-9_À-ɏ#-])[A-Z]{{2}} ?\d{{2}} ?\d{{2}} ?\d{{2}} ?[A-D](?!{_W})"),
@@ -47,7 +51,16 @@ _NUMBERS = [
     regex.compile(rf"(?i)(?<![A-Za-z0-9_À-ɏ#-])[A-Z]\d{{1,2}}[A-Z]{{1,2}} ?[A-Z]?\d{{4}} ?\d(?!{_W})"),
     regex.compile(rf"(?i)(?<![A-Za-z0-9_À-ɏ#-])(?:\d{{2}}\.?\d{{3}}\.?\d{{3}}|[XYZ][- ]?\d{{7}})[- ]?[A-Z](?!{_W})"),
 ]
-_NAME_WORD = rf"[{LETTER}][{LETTER}'’-]*"
+_NAME_WORD = rf"[{LETTER}][{LETTER}'’-]{{0,40}}"
+_WORDS = regex.compile(rf"[{LETTER}][{LETTER}'’-]*")
+#: Words that lie at most so many before one that tells of a name may begin it: given, initials, two words of a particle, family.
+_BEFORE = 5
+_DIGIT_RUN = regex.compile(r"(?:\d\D{0,3}){6}")
+_GERMAN = ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "ring", "damm", "ufer")
+_SPANISH = ("calle", "c/", "avda", "av.", "avenida", "plaza", "pza", "paseo", "camino", "ronda", "travesía", "carretera")
+_FRENCH = ("rue", "avenue", "av.", "bd", "boulevard", "chemin", "place", "quai", "impasse", "allée", "cours", "route", "square")
+_ENGLISH = ("st", "r", "lane", "ln", "ave", "dr", "close", "way", "place", "boul", "blvd", "mews", "hill", "gardens", "court", "square")
+_STREETS = (_ENGLISH, _FRENCH, _SPANISH, _GERMAN)
 _STREET_EN = r"(?:Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Row|Avenue|Ave\.?|Drive|Dr\.?|Close|Court|Way|Terrace|Square|Place|Boulevard|Blvd\.?|Crescent|Mews|Hill|Gardens)"
 _HOUSE = r"\d{1,4}(?:-\d{1,4})? ?(?:[a-f](?![\w]))?"
 _FLAT = r"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite) \d{1,4}[a-z]?, )?"
@@ -98,6 +111,19 @@ class Lexicon:
                 last[g[i:]] += 1
         self._first = frozenset(x for x, n in first.items() if n >= least)
         self._last = frozenset(x for x, n in last.items() if n >= least)
+        self._known: dict[str, tuple[bool, bool]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_known": {}}
+
+    def likeness(self, word: str) -> tuple[bool, bool]:
+        """Whether a word is like a given name, and like a family name; remembered."""
+        known = self._known.get(word)
+        if known is None:
+            if len(self._known) >= 200_000:
+                self._known.clear()
+            known = self._known[word] = (len(word) <= 41 and self.like_given(word), _like_family(word))
+        return known
 
     def like_given(self, word: str) -> bool:
         parts = word.lower().split("-")
@@ -129,14 +155,18 @@ def _context(folded: str, lower: str, start: int, end: int) -> list[float]:
 
 _UNITS = regex.compile(r"\s?(?:cm|mm|kg|eur\b|€|\$|£|%|x\d|°|days|weeks|hours|times|tage|wochen|jours|días)")
 _MONEY = regex.compile(r"[€$£]\s?$|\b(?:eur|usd|gbp)\s?$")
+_DIGIT_GROUPS, _LETTER_GROUPS, _TOP = regex.compile(r"\d+"), regex.compile(r"[A-Za-z]+"), regex.compile(r"[A-Za-z]{2,}$")
+_TOWN = regex.compile(r",? (?:\d{5} )?[A-Z]")
+#: What before an address shows that the address began earlier.
+_INNER = regex.compile(r"(?:(?:flat|apt\.?|apartment|unit|suite) \w+, |(?<!\w)(?:am|an der|im|zum|zur|auf dem|unter den) |\d[ -])$")
 _DATE = regex.compile(r"(?:\d{4}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./]\d{2,4})$")
 
 
 def _number_features(folded: str, lower: str, start: int, end: int) -> tuple:
     s = folded[start:end]
-    groups = regex.findall(r"\d+", s)
+    groups = _DIGIT_GROUPS.findall(s)
     digits = "".join(groups)
-    letters = regex.findall(r"[A-Za-z]+", s)
+    letters = _LETTER_GROUPS.findall(s)
     before = folded[max(0, start - 2) : start]
     sizes = [len(g) for g in groups]
     spelled = not digits
@@ -159,8 +189,8 @@ def _name_features(form: int, m, folded: str, lower: str, lexicon: Lexicon) -> t
     g, f = m["g"].strip(), m["f"]
     start, end = m.span()
     initial = form in (1, 3)
-    given = not initial and lexicon.like_given(g)
-    family = _like_family(f)
+    given = not initial and lexicon.likeness(g)[0]
+    family = lexicon.likeness(f)[1]
     if not (given or family or (initial and _case(f) >= 2)) or len(f) < 3 and not given:
         return None
     odd = any(c in f for c in "'’-") or any(ord(c) > 127 for c in f) or (f[:2] == "Mc" and len(f) > 3)
@@ -171,8 +201,8 @@ def _name_features(form: int, m, folded: str, lower: str, lexicon: Lexicon) -> t
     near = lower[max(0, start - 12) : end + 12]
     return (
         float(form), float(given), float(g.lower() in lexicon.given), float(family), float(odd), float(_case(g)), float(_case(f)), float(_case(g) == _case(f)),
-        float(bool(m["p"])), float(bool(m.groupdict().get("m"))), float(plain_f), float(plain_g), float(brand), float(any(b in near for b in lexicon.brands)), float(len(f)), float(lexicon.like_given(f)),
-        float(sum(c.isupper() for c in others) / max(1, len(others))), float(_like_family(g)), float(folded[end : end + 2] in ("さん", "様が")), float(folded[max(0, start - 1) : start] in ("@", "_", ".", "-")), float(folded[end : end + 1] in ("@", "_", ".")),
+        float(bool(m["p"])), float(bool(m.groupdict().get("m"))), float(plain_f), float(plain_g), float(brand), float(any(b in near for b in lexicon.brands)), float(len(f)), float(lexicon.likeness(f)[0]),
+        float(sum(c.isupper() for c in others) / max(1, len(others))), float(lexicon.likeness(g)[1]), float(folded[end : end + 2] in ("さん", "様が")), float(folded[max(0, start - 1) : start] in ("@", "_", ".", "-")), float(folded[end : end + 1] in ("@", "_", ".")), float(any(c.isdigit() for c in folded[max(0, start - 2) : start])),
         *_context(folded, lower, start, end),
     )
 
@@ -183,47 +213,31 @@ def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
     lower = folded.lower()
     if len(lower) != len(folded):  # a letter whose lower case is longer
         lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in folded)
-    out: list[Candidate] = []
-    emails: list[tuple[int, int]] = []
-    if "@" in folded or "at" in lower:
-        for i, pattern in enumerate(_EMAILS):
-            for m in pattern.finditer(folded):
-                s = m[0]
-                end = regex.search(r"[A-Za-z]{2,}$", s)
-                out.append(Candidate("email", *m.span(), (float(i), float("@" in s), float(s.count(".")), float(len(s)), float(bool(end)), float(s.count(" ")))))
-                emails.append(m.span())
-    if regex.search(r"\d", folded) or regex.search(_NUMBERS[1], folded) or regex.search(_NUMBERS[2], folded):
-        seen = set()
-        for pattern in _NUMBERS:
-            for m in pattern.finditer(folded):
-                start, end = m.span()
-                digits = sum(c.isdigit() for c in m[0])
-                if (start, end) in seen or (digits and not 7 - any(c.isalpha() for c in m[0]) <= digits <= 16):
-                    continue
-                if any(a < end and start < b for a, b in emails):
-                    continue
-                seen.add((start, end))
-                features = _number_features(folded, lower, start, end)
-                out.append(Candidate("id_number", start, end, features))
-                out.append(Candidate("phone", start, end, features))
-        for i, pattern in enumerate(_ADDRESSES):
-            for m in pattern.finditer(folded, overlapped=True):
-                s = m[0]
-                words = regex.findall(_NAME_WORD, s)
-                number = regex.search(r"\d+", s)
-                features = (
-                    float(i), float(sum(w[0].isupper() for w in words)), float(len(words)), float(int(number[0])), float("," in s), float(any(w.lower() in _NOT_NAMES for w in words)),
-                    float(folded[m.end() : m.end() + 1] == ","), float(bool(regex.match(r",? (?:\d{5} )?[A-Z]", folded[m.end() : m.end() + 9]))), float(bool(_UNITS.match(lower, m.end()))), *_context(folded, lower, *m.span()),
-                )
-                out.append(Candidate("address", *m.span(), features))
-    for form, (_, pattern) in enumerate(_NAMES):
+    out = _emails(folded)
+    taken = _Spans([(c.start, c.end) for c in out])
+    if _DIGIT_RUN.search(folded):
+        out += _numbers(_NUMBERS, folded, lower, taken)
+    else:
+        out += _numbers(_NUMBERS[1:3], folded, lower, taken)
+    for i, pattern in enumerate(_ADDRESSES):
+        if not any(x in lower for x in _STREETS[i]):
+            continue
         for m in pattern.finditer(folded, overlapped=True):
-            start = m.start()
-            if start and (folded[start - 1].isalnum() and not _east(folded[start - 1]) or folded[start - 1] in "'’_@+°" or regex.search(r"\w-$", folded[max(0, start - 2) : start])):
+            words, number = _WORDS.findall(m[0]), _DIGIT_GROUPS.search(m[0])
+            features = (
+                float(i), float(sum(w[0].isupper() for w in words)), float(len(words)), float(int(number[0])), float("," in m[0]), float(any(w.lower() in _NOT_NAMES for w in words)),
+                float(bool(_INNER.search(lower[max(0, m.start() - 20) : m.start()]))), float(folded[m.end() : m.end() + 1] == ","), float(bool(_TOWN.match(folded, m.end()))), float(bool(_UNITS.match(lower, m.end()))), *_context(folded, lower, *m.span()),
+            )
+            out.append(Candidate("address", *m.span(), features))
+    for start in _name_starts(folded, lexicon):
+        if start and (folded[start - 1].isalnum() and not _east(folded[start - 1]) or folded[start - 1] in "'’_@+°" or (folded[start - 1] == "-" and start > 1 and folded[start - 2].isalnum())):
+            continue
+        for form, (_, pattern) in enumerate(_NAMES):
+            m = pattern.match(folded, start)
+            if not m:
                 continue
-            if (folded[m.end() : m.end() + 1].isalnum() and not _east(folded[m.end()])) or folded[m.end() : m.end() + 1] in ("'", "-", "_", "@"):
-                continue
-            if any(a < m.end() and start < b for a, b in emails):
+            after = folded[m.end() : m.end() + 1]
+            if (after.isalnum() and not _east(after)) or after in ("'", "-", "_", "@") or taken.meets(start, m.end()):
                 continue
             features = _name_features(form, m, folded, lower, lexicon)
             if features:
@@ -231,5 +245,58 @@ def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
     return out
 
 
+def _emails(folded: str) -> list[Candidate]:
+    """Addresses around the signs that they must have, so a text is not searched word by word."""
+    found: dict[tuple[int, int], Candidate] = {}
+    for i, (marker, pattern) in enumerate(zip(_MARKERS, _EMAILS, strict=True)):
+        for sign in marker.finditer(folded):
+            for m in pattern.finditer(folded, max(0, sign.start() - _REACH), sign.end() + _REACH):
+                if m.start() < sign.start() < m.end():
+                    s = m[0]
+                    found[m.span()] = Candidate("email", *m.span(), (float(i), float("@" in s), float(s.count(".")), float(len(s)), float(bool(_TOP.search(s))), float(s.count(" "))))
+                    break
+                if m.start() > sign.start():
+                    break
+    return [found[k] for k in sorted(found)]
+
+
+def _numbers(patterns: list, folded: str, lower: str, taken: _Spans) -> list[Candidate]:
+    out, seen = [], set()
+    for pattern in patterns:
+        for m in pattern.finditer(folded):
+            start, end = m.span()
+            digits = sum(c.isdigit() for c in m[0])
+            if (start, end) in seen or (digits and not 7 - any(c.isalpha() for c in m[0]) <= digits <= 16) or taken.meets(start, end):
+                continue
+            seen.add((start, end))
+            features = _number_features(folded, lower, start, end)
+            out += [Candidate("id_number", start, end, features), Candidate("phone", start, end, features)]
+    return out
+
+
+def _name_starts(folded: str, lexicon: Lexicon) -> list[int]:
+    """Beginnings of words near one that is like a given or family name, or is an initial."""
+    words = [m.span() for m in _WORDS.finditer(folded)]
+    starts: set[int] = set()
+    for i, (a, b) in enumerate(words):
+        if (b - a == 1 and folded[b : b + 1] == ".") or any(lexicon.likeness(folded[a:b])):
+            starts.update(w[0] for w in words[max(0, i - _BEFORE) : i + 2])
+    return sorted(starts)
+
+
+class _Spans:
+    """Spans in ascending order, of which it can be asked whether one meets another span."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self._starts, self._ends, most = [a for a, _ in spans], [], 0
+        for _, b in spans:
+            most = max(most, b)
+            self._ends.append(most)
+
+    def meets(self, start: int, end: int) -> bool:
+        i = bisect_left(self._starts, end)
+        return i > 0 and self._ends[i - 1] > start
+
+
 def _east(c: str) -> bool:
     return ord(c) > 0x3000

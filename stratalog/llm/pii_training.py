@@ -52,6 +52,8 @@ NEGATIVE = [
     "My daughter {g} loves it.", "Meine Tochter {g} mag es.", "Ma fille {g} l'adore.", "A mi hija {g} le encanta.", "娘の{g}も気に入っています。", "Thank you {b}!", "Ten out of ten for {b}.", "The {b} shop near {s} Street is closed.", "I am so glad I found the {b} headset!",
     "I follow @tinkertable for tips.", "See www.{h}.example for the manual.", "Worth every cent of the {m} I paid.", "Size is 70x35x12 cm.", "We use it 4 times a week and it stays neat.", "The box says BPA 0.", "Set up in 3 minutes, no tools.", "I have had it for 2 months now.",
     "Ordered on a Monday, paid {m}.", "Support needed 7 weeks to tell me nothing.", "Even the finish is flimsy, and that at {m}. 9 screws were missing.", "Die Größe ist 40x55 cm.", "Bestellt an einem Samstag, bezahlt {m}.", "Il pèse environ 9 kg.", "Llegó 9 días antes.", "3日早く届きました。", "{m}でした。", "{b} Kundendienst war sehr freundlich.",
+    "The box says 220 V.", "The box says 30 °C.", "Auf dem Karton steht 220 V.", "La boîte indique 30 °C.", "La caja dice 220 V.", "箱に「220 V」とあります。", "Size XL. Fits.", "Survived one rainy season in the van without a mark.", "No reason to complain.", "A nice person brought it.", "Otra vez no.",
+    "Personne ne répond à mes messages.", "Badematte wirkt schief und trüb.", "Nach einem Monat ist alles noch gut.", "Tras un mes sigue bien.", "Après un mois, toujours joli.",
     "It lives in the spare room and nobody complains.", "First impression only, more after almost a year.", "Regards from {s}!", "Thanks, {b}, great job.", "The road was closed for 3 days, so I walked down the lane.", "Number 9 of its kind in ten years.", "Version 2 of the {b} manual has 8 pages.",
 ]
 

@@ -6,10 +6,10 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.runtime import free_names, fresh_path, in_arrow, shuffle_partitions
+from stratalog.runtime import VersionLog, free_names, fresh_path, in_arrow, ship, shuffle_partitions, written
 
 #: Time buckets; the buckets that an identifier may occur in are the bits of a long.
 TIME_BUCKETS = 32
@@ -29,6 +29,13 @@ class Bloom:
         for place in self._places(hashes):
             np.bitwise_or.at(self.words, place >> np.uint64(3), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
 
+    @classmethod
+    def of(cls, bits: int, words: bytes) -> Bloom:
+        """A filter from its parts."""
+        bloom = cls.__new__(cls)
+        bloom.bits, bloom.words = bits, np.frombuffer(words, np.uint8)
+        return bloom
+
     def _places(self, hashes: np.ndarray):
         h = hashes.astype(np.uint64)
         step = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32) | np.uint64(1)
@@ -158,3 +165,121 @@ def split_deliveries(rows: DataFrame, key: str, version: str, arrival: str, keep
     first = keepers(rows, key, version, arrival, time_buckets).toDF(at, identifier)
     on = (a == F.col(at)) & (h == F.col(identifier))
     return rows.join(first, on, "left_semi" if keep else "left_anti")
+
+
+#: So many time buckets are kept apart before the oldest half is merged into one.
+MAX_BUCKETS = 16
+_ID = ["k", "v", "nulls"]
+
+
+class DeliveryLog:
+    """Keeps exactly one copy of each message across batches, each batch being a time bucket.
+
+    A bucket has a table of its identifiers, hash-bucketed on disk, and one Bloom filter per hash partition. ``accept``
+    tests a batch's identifiers against the filters of all buckets, partition by partition; those that no filter may hold
+    are new without reading anything else, and the others are joined with only the tables of the buckets that may hold them,
+    which are not shuffled. What is new is published as the batch's bucket by an atomic rename.
+
+    A batch is known by its id: accepting it again, say after a failure, ignores its own bucket and gives the same rows, until
+    the bucket is merged. Nulls, ties and empty batches are as in ``split_deliveries``; an identifier of an earlier batch
+    counts as delivered earlier whatever its arrival.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, partitions: int | None = None):
+        self.spark, self.root = spark, root
+        self.log = VersionLog(spark, root)
+        self.partitions = self.log.current()[1].get("partitions") or partitions or shuffle_partitions(spark)
+
+    def _placed(self, df: DataFrame) -> DataFrame:
+        """With the number of the hash partition, which is the one of Spark's bucketing too."""
+        return df.withColumn("part", F.pmod(F.hash(*_ID), F.lit(self.partitions)))
+
+    def _table(self, name: str) -> DataFrame:
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(
+                f"CREATE TABLE {name} (k STRING, v BIGINT, nulls INT, a BIGINT) USING parquet CLUSTERED BY (k, v, nulls) INTO {self.partitions} BUCKETS LOCATION '{self.root}/{name}'"
+            )
+        return self.spark.table(name)
+
+    def _write(self, ids: DataFrame) -> str:
+        """A bucket's table, and beside it its filters."""
+        name = f"delivered_{uuid.uuid4().hex}"
+        ids.select(*_ID, "a").repartition(self.partitions, *_ID).write.bucketBy(self.partitions, *_ID).option("path", f"{self.root}/{name}").saveAsTable(name)
+
+        def build(part, ids):
+            bloom = Bloom(ids.column("h").to_numpy().view(np.uint64))
+            return pa.table({"part": pa.array([part[0].as_py()], pa.int32()), "name": [name], "bits": [bloom.bits], "words": [bloom.words.tobytes()]})
+
+        hashes = self._placed(self._table(name)).select("part", F.xxhash64(*_ID).alias("h"))
+        ship(self.spark)
+        hashes.groupBy("part").applyInArrow(build, "part int, name string, bits long, words binary").write.parquet(f"{self.root}/{name}_filters")
+        return name
+
+    def accept(self, rows: DataFrame, key: str, version: str, arrival: str, batch: str) -> DataFrame:
+        """The rows of the batch that are the first copy of their message; all columns stay."""
+        number, document = self.log.current()
+        buckets = document.get("buckets", [])
+        if batch in document.get("merged", []):
+            raise ValueError(f"batch {batch} is merged and can't be accepted again")
+        names = [b["name"] for b in buckets if b["batch"] != batch]
+        nulls = (F.when(F.col(key).isNull(), 1).otherwise(0) + F.when(F.col(version).isNull(), 2).otherwise(0)).cast("int")
+        tagged = rows.select(
+            F.lit(0).alias("t"), F.coalesce(F.col(key), F.lit("")).alias("k"), F.coalesce(F.col(version), F.lit(0)).cast("long").alias("v"), nulls.alias("nulls"),
+            F.coalesce(F.col(arrival).cast("long"), F.lit(_BEFORE_ALL)).alias("a"), F.lit(1).cast("long").alias("n"),
+        )
+        ids = in_arrow(tagged, _combine, "t int, k string, v long, nulls int, a long, n long").groupBy(*_ID).agg(F.min("a").alias("a"))
+        if names:
+            ids = self._unseen(ids, names)
+        added = self._write(ids)
+        kept = [b for b in buckets if b["batch"] != batch]
+        self.log.commit(number + 1, {"partitions": self.partitions, "buckets": [*kept, {"batch": batch, "name": added}], "merged": document.get("merged", [])})
+        if len(kept) + 1 > MAX_BUCKETS:
+            self.merge()
+        a, h = _marked(rows, key, version, arrival)
+        at, identifier = free_names(rows, "_first", "_identifier")
+        first = self._table(added).select(F.col("a").alias(at), F.xxhash64(*_ID).alias(identifier))
+        return rows.join(first, (a == F.col(at)) & (h == F.col(identifier)), "left_semi")
+
+    def _unseen(self, ids: DataFrame, names: list[str]) -> DataFrame:
+        def screen(_, batch, filters):
+            h = batch.column("h").to_numpy().view(np.uint64)
+            maybe: list[list[str]] = [[] for _ in range(batch.num_rows)]
+            for name, bits, words in zip(*(filters.column(c).to_pylist() for c in ("name", "bits", "words")), strict=True):
+                for i in np.flatnonzero(Bloom.of(bits, words).may_contain(h)):
+                    maybe[i].append(name)
+            return batch.drop_columns(["h"]).append_column("maybe", pa.array(maybe, pa.list_(pa.string())))
+
+        ship(self.spark)
+        filters = self.spark.read.parquet(*[f"{self.root}/{n}_filters" for n in names])
+        placed = self._placed(ids).withColumn("h", F.xxhash64(*_ID))
+        screened = written(
+            placed.groupBy("part").cogroup(filters.groupBy("part")).applyInArrow(screen, "k string, v long, nulls int, a long, part int, maybe array<string>"), "screened"
+        )
+        possible = screened.where(F.size("maybe") > 0)
+        hit = [r[0] for r in possible.select(F.explode("maybe")).distinct().collect()]  # at most one for each bucket
+        new = screened.where(F.size("maybe") == 0).select(*_ID, "a")
+        seen = None
+        for name in hit:
+            among = possible.where(F.array_contains("maybe", name)).select(*_ID)
+            again = among.join(self._table(name).select(*_ID).hint("merge"), _ID, "left_semi")
+            seen = again if seen is None else seen.unionByName(again)
+        if seen is not None:
+            possible = possible.join(seen, _ID, "left_anti")
+        return new.unionByName(possible.select(*_ID, "a"))
+
+    def merge(self) -> None:
+        """Make one bucket of the oldest half; identifiers are unique over all buckets, so nothing has to be compared."""
+        number, document = self.log.current()
+        old, rest = document["buckets"][: MAX_BUCKETS // 2], document["buckets"][MAX_BUCKETS // 2 :]
+        union = self._table(old[0]["name"])
+        for b in old[1:]:
+            union = union.unionByName(self._table(b["name"]))
+        merged = {"batch": f"merged-{number}", "name": self._write(union)}
+        self.log.commit(number + 1, document | {"buckets": [merged, *rest], "merged": document["merged"] + [b["batch"] for b in old]})
+
+    def vacuum(self) -> None:
+        """Delete the files of buckets that were merged or never published."""
+        keep = {b["name"] for b in self.log.current()[1].get("buckets", [])}
+        for name in self.log.files.names(self.root):
+            if name.startswith("delivered_") and name.removesuffix("_filters") not in keep:
+                self.log.files.delete(f"{self.root}/{name}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalog.functions.intervals import merged_ranges, within_ranges
 from stratalog.operators.change_feed import events, replay
-from stratalog.operators.delivery_dedup import split_deliveries
+from stratalog.operators.delivery_dedup import DeliveryLog, split_deliveries
 from stratalog.operators.incremental import IncrementalProcessor
 from stratalog.operators.key_ledger import KeyLedger
 from stratalog.operators.tree_aggregate import distinct_versions
@@ -111,9 +111,21 @@ def p5_kept(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("delivery_id", "key", "version", "tombstone", "value")
 
 
+def p5_by_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The rows kept when the table comes in three batches, by order of arrival."""
+    rows = table(spark, d, "versioned_keys").select("delivery_id", "key", "version")
+    last = rows.agg(F.max("delivery_id")).first()[0] or 0
+    log, kept = DeliveryLog(spark, fresh_path(spark, "deliveries")), None
+    for i in range(3):
+        batch = rows.where((F.col("delivery_id") > last * i // 3) & (F.col("delivery_id") <= last * (i + 1) // 3))
+        accepted = log.accept(batch, "key", "version", "delivery_id", f"batch-{i}").select("delivery_id")
+        kept = accepted if kept is None else kept.unionByName(accepted)
+    return kept
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_state_size": p1_state_size, "p2_found": p2_found, "p2_per_key": p2_per_key, "p3_found": p3_found, "p3_current": p3_current,
-    "p4_found": p4_found, "p4_verdicts": p4_verdicts, "p4_error_rate": p4_error_rate, "p5_found": p5_found, "p5_kept": p5_kept,
+    "p4_found": p4_found, "p4_verdicts": p4_verdicts, "p4_error_rate": p4_error_rate, "p5_found": p5_found, "p5_kept": p5_kept, "p5_by_batch": p5_by_batch,
 }
 
 _FEEDS = """
@@ -152,6 +164,9 @@ SQL = {
     "p5_found": """
     SELECT delivery_id FROM (SELECT delivery_id, min(delivery_id) OVER (PARTITION BY key, version) AS first FROM versioned_keys)
     WHERE delivery_id > first""",
+    "p5_by_batch": """
+    SELECT delivery_id FROM (SELECT delivery_id, min(delivery_id) OVER (PARTITION BY key, version) AS first FROM versioned_keys)
+    WHERE delivery_id = first""",
     "p5_kept": """
     SELECT delivery_id, key, version, tombstone, value FROM (SELECT *, min(delivery_id) OVER (PARTITION BY key, version) AS first FROM versioned_keys)
     WHERE delivery_id = first""",

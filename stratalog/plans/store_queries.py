@@ -67,7 +67,8 @@ def point_get_deleted(spark, d):
     """Keys whose newest record is a tombstone: none of them can be got."""
     log = _log(spark, d, "events")
     dead = reads.newest(log).where("tombstone").select("key")
-    return dead.agg(F.count("*").alias("deleted")).crossJoin(reads.multi_get(log, dead).agg(F.count("*").alias("found")))
+    found = reads.multi_get(log, dead).select("key", F.lit(1).alias("one"))
+    return dead.join(found, "key", "left").agg(F.count("*").alias("deleted"), F.count("one").alias("found"))
 
 
 def point_get_missing(spark, d):

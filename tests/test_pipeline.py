@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalog.functions.intervals import merged_ranges, within_ranges
 from stratalog.operators.change_feed import events, replay
-from stratalog.operators.delivery_dedup import Bloom, split_deliveries
+from stratalog.operators.delivery_dedup import Bloom, DeliveryLog, split_deliveries
 from stratalog.operators.incremental import IncrementalProcessor
 from stratalog.operators.key_ledger import KeyLedger
 from stratalog.operators.tree_aggregate import distinct_versions, tree_levels
@@ -192,6 +192,29 @@ def test_delivery_dedup(spark, seed, buckets):
     assert split_deliveries(df.where("false"), "key", "version", "id", keep=True).count() == 0
 
 
+def test_delivery_log(spark, root, monkeypatch):
+    log, model, kept, n = DeliveryLog(spark, f"{root}/log", 3), set(), {}, 6
+    monkeypatch.setattr("stratalog.operators.delivery_dedup.MAX_BUCKETS", 4)
+    rows = dirty(5, 300)
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"a": F.lit("clash"), "_first": F.lit(2)})
+    for i in range(n):
+        part = [r for r in rows if r[0] % n == i]
+        out = log.accept(df.where(f"id % {n} = {i}"), "key", "version", "id", str(i))
+        expected = {}
+        for r in part:
+            if r[1:3] not in model:
+                expected[r[1:3]] = min(r[0], expected.get(r[1:3], r[0]))
+        model |= set(expected)
+        kept[i] = sorted(expected.values())
+        assert sorted(r["id"] for r in out.collect()) == kept[i] and out.columns == df.columns
+    assert sorted(r["id"] for r in log.accept(df.where("id % 6 = 5"), "key", "version", "id", "5").collect()) == kept[5]  # again
+    with pytest.raises(ValueError):
+        log.accept(df, "key", "version", "id", "0")
+    log.vacuum()
+    again = DeliveryLog(spark, f"{root}/log")
+    assert again.partitions == 3 and again.accept(df, "key", "version", "id", "all").count() == 0 and again.accept(df.where("false"), "key", "version", "id", "none").count() == 0
+
+
 def test_delivery_null_arrival_comes_first(spark):
     df = spark.createDataFrame([(None, "a", 1, "x"), (3, "a", 1, "x"), (3, "b", 1, "x"), (3, "b", 1, "x")], SCHEMA)
     assert [(r["id"], r["key"]) for r in split_deliveries(df, "key", "version", "id", keep=False).collect()] == [(3, "a")]

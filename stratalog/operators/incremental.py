@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.runtime import VersionLog, fingerprint
@@ -12,6 +13,9 @@ from stratalog.runtime import VersionLog, fingerprint
 #: So many segments are read side by side before a run merges them into one.
 MAX_SEGMENTS = 8
 
+#: What stands for a null key of types that 0 can't be cast to.
+_ZERO = {"string": "''", "binary": "X''", "date": "DATE'1970-01-01'"}
+
 
 class IncrementalProcessor:
     """Selects the records that are new or changed since the last successful run.
@@ -30,36 +34,51 @@ class IncrementalProcessor:
         self.spark, self.root, self.keys, self.order, self.content = spark, root, keys, order, content
         self.log = VersionLog(spark, root)
 
+    def _plain(self, rows: DataFrame) -> list[Column]:
+        """The keys without nulls, and a number whose bits say which were null: what is grouped by can then be joined with
+        plain equality, on the same partitioning."""
+        kinds = dict(rows.dtypes)
+        plain = [F.coalesce(F.col(k), F.expr(_ZERO.get(kinds[k], f"cast(0 AS {kinds[k]})"))).alias(f"k{i}") for i, k in enumerate(self.keys)]
+        nulls = [F.when(F.col(k).isNull(), 1 << i).otherwise(0) for i, k in enumerate(self.keys)]
+        return [*plain, reduce(Column.__add__, nulls).alias("nulls")]
+
+    @property
+    def _plain_names(self) -> list[str]:
+        return [*(f"k{i}" for i in range(len(self.keys))), "nulls"]
+
+    def named(self, plain: DataFrame) -> DataFrame:
+        """Keys under their names, with their nulls, and the content hash."""
+        keys = [F.when(F.col("nulls").bitwiseAND(1 << i) == 0, F.col(f"k{i}")).alias(k) for i, k in enumerate(self.keys)]
+        return plain.select(*keys, "content")
+
     def hashed(self, rows: DataFrame) -> DataFrame:
         """One row per key with the content hash of its newest row."""
-        newest = F.max(F.struct(F.col(self.order).alias("o"), fingerprint(*self.content).alias("h")))
-        return rows.groupBy(*self.keys).agg(newest.alias("_n")).select(*self.keys, F.col("_n.h").alias("content"))
+        order, content = F.col(self.order).alias("o"), fingerprint(*self.content).alias("h")
+        newest = F.max(F.struct("o", "h"))
+        return rows.select(*self._plain(rows), order, content).groupBy(*self._plain_names).agg(newest.alias("n")).select(*self._plain_names, F.col("n.h").alias("content"))
 
-    def state(self) -> DataFrame | None:
-        """Keys and content hashes as of the last successful run."""
+    def _state(self) -> DataFrame | None:
         segments = self.log.current()[1].get("segments", [])
         if not segments:
             return None
-        parts = [self.spark.read.parquet(f"{self.root}/{s}").withColumn("_at", F.lit(i)) for i, s in enumerate(segments)]
+        parts = [self.spark.read.parquet(f"{self.root}/{s}").withColumn("at", F.lit(i)) for i, s in enumerate(segments)]
         if len(parts) == 1:
-            return parts[0].drop("_at")
-        union = parts[0]
-        for p in parts[1:]:
-            union = union.unionByName(p)
-        last = F.max(F.struct("_at", "content")).alias("_n")
-        return union.groupBy(*self.keys).agg(last).select(*self.keys, F.col("_n.content").alias("content"))
+            return parts[0].drop("at")
+        last = F.max(F.struct("at", "content")).alias("n")
+        return reduce(DataFrame.unionByName, parts).groupBy(*self._plain_names).agg(last).select(*self._plain_names, F.col("n.content").alias("content"))
+
+    def state(self) -> DataFrame | None:
+        """Keys and content hashes as of the last successful run."""
+        state = self._state()
+        return None if state is None else self.named(state)
 
     def select(self, rows: DataFrame) -> DataFrame:
-        """The keys of ``rows`` that the state lacks or holds with other content, and their hashes."""
-        now, state = self.hashed(rows), self.state()
+        """The keys of ``rows`` that the state lacks or holds with other content, and their hashes; keys in plain form."""
+        now, state = self.hashed(rows), self._state()
         if state is None:
             return now
-        past = state.select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(self.keys)], F.col("content").alias("_was"))
-        same = [F.col(k).eqNullSafe(F.col(f"_s{i}")) for i, k in enumerate(self.keys)]
-        on = same[0]
-        for c in same[1:]:
-            on = on & c
-        return now.join(past, on, "left").where(F.col("_was").isNull() | (F.col("_was") != F.col("content"))).select(*self.keys, "content")
+        past = state.withColumnRenamed("content", "was")
+        return now.join(past, self._plain_names, "left").where("was IS NULL OR was != content").drop("was")
 
     def run(self, rows: DataFrame) -> DataFrame:
         """Publish what is new or changed in ``rows`` and return it, one row per key."""
@@ -70,13 +89,13 @@ class IncrementalProcessor:
         self.log.commit(number + 1, {"segments": segments, "output": segment})
         if len(segments) > MAX_SEGMENTS:
             self.compact()
-        return self.spark.read.parquet(f"{self.root}/{segment}")
+        return self.named(self.spark.read.parquet(f"{self.root}/{segment}"))
 
     def compact(self) -> None:
         """Merge the state's segments into one; the old files stay until ``vacuum``."""
         number, document = self.log.current()
         merged = f"segment-{number + 1:012d}-{uuid.uuid4().hex}"
-        self.state().write.parquet(f"{self.root}/{merged}")
+        self._state().write.parquet(f"{self.root}/{merged}")
         self.log.commit(number + 1, document | {"segments": [merged]})
 
     def vacuum(self) -> None:

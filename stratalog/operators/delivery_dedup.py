@@ -117,10 +117,11 @@ def keepers(rows: DataFrame, key: str, version: str, arrival: str, time_buckets:
     spark = rows.sparkSession
     s = shuffle_partitions(spark)
     nulls = (F.when(F.col(key).isNull(), 1).otherwise(0) + F.when(F.col(version).isNull(), 2).otherwise(0)).cast("int")
-    at = F.coalesce(F.col(arrival).cast("long"), F.lit(_BEFORE_ALL))
-    lo, hi = rows.agg(F.min(arrival), F.max(arrival)).first()
+    number = F.col(arrival).cast("long")
+    at = F.coalesce(number, F.lit(_BEFORE_ALL))
+    lo, hi = rows.agg(F.min(number), F.max(number)).first()
     width = 1 if lo is None else (hi - lo) // time_buckets + 1
-    bucket = F.expr(f"cast(coalesce((`{arrival}` - {lo or 0}) div {width}, 0) as int)")
+    bucket = F.coalesce(F.floor((number - (lo or 0)) / width), F.lit(0)).cast("int")
     tagged = rows.select(
         bucket.alias("t"), F.coalesce(F.col(key), F.lit("")).alias("k"), F.coalesce(F.col(version), F.lit(0)).cast("long").alias("v"),
         nulls.alias("nulls"), at.alias("a"), F.lit(1).cast("long").alias("n"),

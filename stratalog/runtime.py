@@ -111,17 +111,14 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(shutil.make_archive(str(folder / package.name), "zip", folder / "src"))
 
 
-#: An input of fewer bytes per core is spread over the cores before Python works on it.
-LEAST_BYTES_PER_CORE = 1 << 20
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input that is too small for Spark to split, where a row costs much more than its
-    bytes. Larger inputs come in enough partitions and are not shuffled."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * LEAST_BYTES_PER_CORE else df
+    """Give every core a share of an input that Spark reads in fewer partitions than there are cores, where a row costs much
+    more than its bytes. Inputs with enough partitions, and those already shuffled, stay as they are."""
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
 
 
 def in_arrow(df: DataFrame, function, schema) -> DataFrame:

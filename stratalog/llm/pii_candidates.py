@@ -22,7 +22,7 @@ CUES = {
     "goods": r"\border(?! me)\b|invoice|\bparts?\b|\bitem|serial|barcode|\bref\b|\bsku\b|model|tracking|bestell|rechnung|artikel|seriennummer|strichcode|commande|facture|\barticle|série|code-barres|pedido|factura|artículo|serie|código|référence|注文|型番|シリアル|バーコード|請求書",
     "phone": r"\bcall|phone|\btel\b|\bring\b|mobile|\breach|\bfax|text me|teléfono|llám|avis|móvil|appel|téléphone|portable|rückruf|erreichbar|anruf|telefon|handy|電話|連絡|reply|contact|ask for|finds the old",
     "place": r"live[sd]? at|left it at|\baddress|delivered|refund to|parcel with|moved to|since|dirección|se quedó en|devolver|\bvive|adresse|resté au|renvoyer|habite|anschrift|adresse|rücksendung|wohn|lag bei|返品先|住所",
-    "person": r"regards|signed|thanks|thank you|spoke to|ask for|\bi,|wife|husband|brother|sister|the one of|refund to|under|daughter|son\b|saludo|firmado|hablé|avisen|devolver|gracias|cordialement|signé|parlé|rappelez|chez|merci|grüße|gez\.|telefoniert|habe mit|lag bei|rücksendung an|様|さん",
+    "person": r"regards|signed|thanks|thank you|spoke to|ask for|\bi,|wife|husband|brother|sister|the one of|refund to|under|daughter|son\b|saludo|firmado|hablé|avisen|devolver|gracias|cordialement|signé|parlé|rappelez|chez|merci|grüße|gez\.|telefoniert|habe mit|lag bei|rücksendung an|様|さん|from the shop|vom kundendienst|du magasin|de la tienda|customer service|very kind",
 }
 _CUES = {k: regex.compile(v) for k, v in CUES.items()}
 _BREAK = regex.compile(r"(?<=\w{2})[!?]\s|(?<=[\w)>]{4})\.\s|[。！？\n\r]|<br>|\s{2,}")
@@ -72,21 +72,25 @@ _ADDRESSES = [
 ]
 #: Words that stand before a family name and belong to it.
 _PARTICLES = r"(?:von der|van der|van den|de la|de los|von|van|zu|de|del|della|di|da|dos|du|le|la|ter|ten)"
+_LAST_WORD = regex.compile(rf"[{LETTER}][{LETTER}'’-]*$")
+_PARTICLE_WORDS = frozenset("von van der den zu de la los del della di da dos du le ter ten".split())
+#: Characters between a word that tells of a person and a name beside it.
+_BESIDE = 12
 #: Frequent ends of invented and of Germanic family names.
 FAMILY_ENDS = ("wick", "lund", "berg", "mere", "court", "sey", "stad", "holm", "vane", "tarn", "son", "sen", "mann", "vist", "ez", "ský")
 #: Words that stand where a family or given name could, but are none.
 _NOT_NAMES = frozenset(
-    "regards signed thanks thank saludo cordialement grüße hello dear street road lane row avenue drive close flat apt the this that these it i we my our you he she they and but or so no yes not "
+    "regards signed thanks thank saludo cordialement grüße hello dear gracias merci danke rappelez appelez avisen hablé brother-in-law sister-in-law street road lane row avenue drive close flat apt the this that these it i we my our you he she they and but or so no yes not "
     "monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december "
     "after before even first worst best honestly survived support size colour order invoice part item serial barcode straight bought used set worth ordered delivered since whoever please call ring contact copy send loves love likes "
     "der die das und aber nach auf für mit ist nicht sehr mag es une un le la les des pour avec très l'adore adora ama el los las con por para muy una le encanta dans sur en et y o ou oder".split()
 )
 _NAMES = [
     # given, perhaps an initial, perhaps particles, family
-    ("gf", regex.compile(rf"(?P<g>{_NAME_WORD}) (?P<m>(?:[A-Z]\.\s?){{1,2}})?(?P<p>(?i:{_PARTICLES}) )?(?P<f>{_NAME_WORD})")),
+    ("gf", regex.compile(rf"(?P<g>{_NAME_WORD}) (?P<m>(?:\p{{Lu}}\.\s?){{1,2}})?(?P<p>(?i:{_PARTICLES}) )?(?P<f>{_NAME_WORD})")),
     ("if", regex.compile(rf"(?<![\w.'-])(?P<g>[A-Za-zÀ-ɏ]\.)(?: ?[A-Z]\.)? ?(?P<p>(?i:{_PARTICLES}) )?(?P<f>{_NAME_WORD})")),
-    ("fg", regex.compile(rf"(?P<p>(?i:{_PARTICLES}) )?(?P<f>{_NAME_WORD}), ?(?P<g>{_NAME_WORD})(?P<m> [A-Z]\.)?")),
-    ("fi", regex.compile(rf"(?P<p>(?i:{_PARTICLES}) )?(?P<f>{_NAME_WORD}), ?(?P<g>[A-Z]\.)")),
+    ("fg", regex.compile(rf"(?P<p>(?i:{_PARTICLES}) )?(?P<f>{_NAME_WORD}), ?(?P<g>{_NAME_WORD})(?P<m> \p{{Lu}}\.)?")),
+    ("fi", regex.compile(rf"(?P<p>(?i:{_PARTICLES}) )?(?P<f>{_NAME_WORD}), ?(?P<g>[A-Za-zÀ-ɏ]\.)")),
 ]
 
 
@@ -185,13 +189,15 @@ def _like_family(word: str) -> bool:
     return any(w.endswith(e) and len(w) > len(e) + 1 for e in FAMILY_ENDS)
 
 
-def _name_features(form: int, m, folded: str, lower: str, lexicon: Lexicon) -> tuple | None:
+def _name_features(form: int, m, folded: str, lower: str, lexicon: Lexicon, cues: _Cues) -> tuple | None:
+    """None for words that are not shaped like a name: neither capitalised nor beside a person cue, an initial or a particle,
+    nor like a known name. Likeness alone never rules a pair out."""
     g, f = m["g"].strip(), m["f"]
     start, end = m.span()
     initial = form in (1, 3)
     given = not initial and lexicon.likeness(g)[0]
     family = lexicon.likeness(f)[1]
-    if not (given or family or (initial and _case(f) >= 2)) or len(f) < 3 and not given:
+    if len(f) < 2 or not (given or family or m["p"] or _case(f) >= 2 and (initial or _case(g) >= 2 or m["m"]) or cues.beside(start, end)):
         return None
     odd = any(c in f for c in "'’-") or any(ord(c) > 127 for c in f) or (f[:2] == "Mc" and len(f) > 3)
     others = [c for c in folded[max(0, start - 25) : start] + folded[end : end + 25] if c.isalpha()]
@@ -203,10 +209,24 @@ def _name_features(form: int, m, folded: str, lower: str, lexicon: Lexicon) -> t
         float(form), float(given), float(g.lower() in lexicon.given), float(family), float(odd), float(_case(g)), float(_case(f)), float(_case(g) == _case(f)),
         float(bool(m["p"])), float(bool(m.groupdict().get("m"))), float(plain_f), float(plain_g), float(brand), float(any(b in near for b in lexicon.brands)), float(len(f)), float(lexicon.likeness(f)[0]),
         float(sum(c.isupper() for c in others) / max(1, len(others))), float(lexicon.likeness(g)[1]), float(folded[end : end + 2] in ("さん", "様が")), float(folded[max(0, start - 1) : start] in ("@", "_", ".", "-")), float(folded[end : end + 1] in ("@", "_", ".")), float(any(c.isdigit() for c in folded[max(0, start - 2) : start])),
-        *_context(folded, lower, start, end),
+        _edge(folded, start, -1), _edge(folded, end, 1), float(len(g)), *_context(folded, lower, start, end),
     )
 
 
+def _edge(folded: str, at: int, step: int) -> float:
+    """What stands before (-1) or after (1) a span: the end of a sentence or of the text, a comma, another sign, a digit, a
+    word in small letters or a capitalised one."""
+    beside = folded[max(0, at - 42) : at].rstrip(" ") if step < 0 else folded[at : at + 42].lstrip(" ")
+    c = beside[-1:] if step < 0 else beside[:1]
+    if not c or c in ".!?。\n\r":
+        return 0.0
+    if not c.isalpha():
+        return 1.0 if c in ",;:" else 3.0 if c.isdigit() else 2.0
+    if step < 0 and (word := _LAST_WORD.search(beside)):
+        c = word[0][0]
+    return 5.0 if c.isupper() else 4.0
+
+
 def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
     """All spans that may be a mention; they overlap. Offsets are code points of ``text``."""
     folded = text.translate(FOLD)
@@ -229,7 +249,8 @@ def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
                 float(bool(_INNER.search(lower[max(0, m.start() - 20) : m.start()]))), float(folded[m.end() : m.end() + 1] == ","), float(bool(_TOWN.match(folded, m.end()))), float(bool(_UNITS.match(lower, m.end()))), *_context(folded, lower, *m.span()),
             )
             out.append(Candidate("address", *m.span(), features))
-    for start in _name_starts(folded, lexicon):
+    cues = _Cues(lower)
+    for start in _name_starts(folded, lower, lexicon, cues):
         if start and (folded[start - 1].isalnum() and not _east(folded[start - 1]) or folded[start - 1] in "'’_@+°" or (folded[start - 1] == "-" and start > 1 and folded[start - 2].isalnum())):
             continue
         for form, (_, pattern) in enumerate(_NAMES):
@@ -239,7 +260,7 @@ def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
             after = folded[m.end() : m.end() + 1]
             if (after.isalnum() and not _east(after)) or after in ("'", "-", "_", "@") or taken.meets(start, m.end()):
                 continue
-            features = _name_features(form, m, folded, lower, lexicon)
+            features = _name_features(form, m, folded, lower, lexicon, cues)
             if features:
                 out.append(Candidate("name", start, m.end(), features))
     return out
@@ -274,16 +295,35 @@ def _numbers(patterns: list, folded: str, lower: str, taken: _Spans) -> list[Can
     return out
 
 
-def _name_starts(folded: str, lexicon: Lexicon) -> list[int]:
-    """Beginnings of words near one that is like a given or family name, or is an initial."""
+def _name_starts(folded: str, lower: str, lexicon: Lexicon, cues: _Cues) -> list[int]:
+    """Beginnings of words that are capitalised, or near one that is like a known name, an initial, a particle or a person cue."""
     words = [m.span() for m in _WORDS.finditer(folded)]
     starts: set[int] = set()
     for i, (a, b) in enumerate(words):
         if (b - a == 1 and folded[b : b + 1] == ".") or any(lexicon.likeness(folded[a:b])):
             starts.update(w[0] for w in words[max(0, i - _BEFORE) : i + 2])
+        elif folded[a].isupper():
+            starts.add(a)
+        if lower[a:b] in _PARTICLE_WORDS:
+            starts.update(w[0] for w in words[max(0, i - _BEFORE) : i + 1])
+    at = [w[0] for w in words]
+    for a, b in cues.spans:
+        starts.update(at[bisect_left(at, b) : bisect_left(at, b + _BESIDE + 1)])
+        i = bisect_left(at, a)
+        starts.update(at[max(0, i - 2 * _BEFORE) : i])
     return sorted(starts)
 
 
+class _Cues:
+    """Words of a text that tell of a person."""
+
+    def __init__(self, lower: str):
+        self.spans = [m.span() for m in _CUES["person"].finditer(lower)]
+
+    def beside(self, start: int, end: int) -> bool:
+        return any(0 <= start - b <= _BESIDE or 0 <= a - end <= _BESIDE for a, b in self.spans)
+
+
 class _Spans:
     """Spans in ascending order, of which it can be asked whether one meets another span."""
 

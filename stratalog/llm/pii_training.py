@@ -11,6 +11,11 @@ import random
 _FAMILY_FIRST = "Thorn Carn Fal Lind Ash Dun Elm Garr Hol Kers Mor Nor Orm Pell Rav Sten Ves Wend Brook Ing Stan Gold Har Kirk".split()
 _FAMILY_LAST = "wick lund berg mere court sey stad holm vane tarn son mann".split()
 _FAMILY_ODD = ["O'Brannel", "O'Venn", "McTarvel", "Ørgaard", "Sørgaard-Lie", "Müllvar", "Śliwek", "Núñero", "Brônel", "Håkvist", "Çelmar", "Marsk-Holt", "Desquel", "Nera", "Vandermool"]
+#: Sounds of names that are like no listed one, and nouns that are written like names.
+_ONSETS = "b br c ch d dr f fr g gr h j k kl l m n p pr qu r s sch sh st t th tr v w y z zh ś ž".split()
+_VOWELS = "a a e e i o u ai ea ie ou ü é ö".split()
+_CODAS = ["", "", "", "l", "n", "r", "s", "t", "k", "m", "ng", "rd", "tt", "x", "ski", "rre"]
+_NOUNS = "Batterie Tasche Lieferung Preis Farbe Verarbeitung Größe Werkstatt Küche Garten Monat Fazit Kabel Deckel Griff Verpackung Sommer Black Friday Summer Sale New York Best Buy Great Product Colour Quality Handle Winter Sunday Upper Harbour Five Stars Very Good Noël Pâques".split()
 _PARTICLES = ["von", "van", "de la", "van der", "de", "zu"]
 _GIVEN_ODD = ["Zoë", "Jörn", "Łuka", "Ñora", "Anouk", "Björk", "Maelle"]
 _STREETS = "Withy Cobbler Pinchbeck Quarrow Sallowgate Fennel Lanternhall Larkrise Oldmere Birchfold Mill Church Station Garden Linden".split()
@@ -54,7 +59,10 @@ NEGATIVE = [
     "Ordered on a Monday, paid {m}.", "Support needed 7 weeks to tell me nothing.", "Even the finish is flimsy, and that at {m}. 9 screws were missing.", "Die Größe ist 40x55 cm.", "Bestellt an einem Samstag, bezahlt {m}.", "Il pèse environ 9 kg.", "Llegó 9 días antes.", "3日早く届きました。", "{m}でした。", "{b} Kundendienst war sehr freundlich.",
     "The box says 220 V.", "The box says 30 °C.", "Auf dem Karton steht 220 V.", "La boîte indique 30 °C.", "La caja dice 220 V.", "箱に「220 V」とあります。", "Size XL. Fits.", "Survived one rainy season in the van without a mark.", "No reason to complain.", "A nice person brought it.", "Otra vez no.",
     "Personne ne répond à mes messages.", "Badematte wirkt schief und trüb.", "Nach einem Monat ist alles noch gut.", "Tras un mes sigue bien.", "Après un mois, toujours joli.",
-    "It lives in the spare room and nobody complains.", "First impression only, more after almost a year.", "Regards from {s}!", "Thanks, {b}, great job.", "The road was closed for 3 days, so I walked down the lane.", "Number 9 of its kind in ten years.", "Version 2 of the {b} manual has 8 pages.",
+    "It lives in the spare room and nobody complains.", "First impression only, more after almost a year.", "Regards from {s}!", "Thanks, {b}, great job.", "Gracias {b}: ligero y robusto.", "Merci {b} : pratique.", "Danke {b}, alles gut.", "Worth every cent of the １２３ {m} I paid.", "Unser Fazit zu {w}: robust.", "Lieferung in 7 Tagen, {k}, Preis {m}.", "{k} und {k}, {k}, alles bestens.", "{k} {k}.", "{k}, {k}!", "Bought at {k} {k} last year.", "The {k} {k} is too small.", "Gekauft für {k} und {k}.", "Made in {w} {k}.", "{k}: {w}, {k} gut.",
+    "A trip to {k} {w} with it.", "{w} loves it.", "I take it to {w} and back.", "Meine {k}, {k} und {k} passen.", "My son, my wife and I use it under the table.", "thanks for the fast delivery", "the one of last year was better", "merci pour la livraison", "gracias por el envío", "Le couvercle de la boîte est cassé.", "La tapa de la caja no cierra.",
+    "under the sink it fits, thank you very much", "I spoke to customer service twice.", "I spoke to nobody about it.", "Ich habe mit der Bohrmaschine gearbeitet.", "Es lag bei uns im Regal.", "The people from the shop were slow.", "my brother uses it every day", "The reason is simple.", "Dear Customer Service, no.", "Le sac de voyage du magasin est solide.", "mi hermana usa el cable de la mesa",
+    "The road was closed for 3 days, so I walked down the lane.", "Number 9 of its kind in ten years.", "Version 2 of the {b} manual has 8 pages.",
 ]
 
 
@@ -106,13 +114,25 @@ class Writer:
     def order(self) -> str:
         return self.shaped(self.r.choice(["Adddddddd", "ORDdddddddd", "ddd ddd dddd", "#ddddddddd", "ddd-dd-dddd", "ABddddddA", "SNdddddddddd", "dddd dddd dd", "AdddddddA", "dddd-ddd", "dddd/dd", "KX-ddddd", "ddddddddd", "dddddddddd"]))
 
+    def other(self) -> str:
+        """A name like none of the listed ones."""
+        r = self.r
+        while True:
+            s = "".join(r.choice(_ONSETS) + r.choice(_VOWELS) + r.choice(_CODAS) for _ in range(r.choice([1, 2, 2, 2, 3])))
+            if len(s) > 1:
+                return s.capitalize()
+
     def family(self) -> str:
         r = self.r
+        if r.random() < 0.2:
+            return f"{r.choice(_PARTICLES)} {self.other()}" if r.random() < 0.15 else self.other()
         s = r.choice(_FAMILY_ODD) if r.random() < 0.14 else r.choice(_FAMILY_FIRST) + r.choice(_FAMILY_LAST)
         return f"{r.choice(_PARTICLES)} {r.choice(['Vire', 'Trass', 'Mool', s])}" if r.random() < 0.1 else s
 
     def one_given(self) -> str:
         r = self.r
+        if r.random() < 0.2:
+            return self.other()
         if r.random() < 0.1:
             return r.choice(_GIVEN_ODD)
         if r.random() < 0.35:  # names as the listed ones, but not listed
@@ -175,7 +195,7 @@ class Writer:
         r = self.r
         make = {"e": ("email", self.email), "t": ("phone", self.phone), "p": ("name", self.name), "a": ("address", self.address), "i": ("id_number", self.id_number)}
         plain = {
-            "o": self.order, "d": self.date, "b": lambda: r.choice(self.brands), "c": lambda: self.digits(13), "g": self.one_given, "s": lambda: r.choice(_STREETS), "h": lambda: r.choice(_HOSTS), "m": self.money,
+            "o": self.order, "d": self.date, "b": lambda: r.choice(self.brands), "c": lambda: self.digits(13), "g": self.one_given, "s": lambda: r.choice(_STREETS), "h": lambda: r.choice(_HOSTS), "m": self.money, "w": self.other, "k": lambda: r.choice(_NOUNS),
         }
         if r.random() < 0.45:
             kind = r.choice(list(POSITIVE))

@@ -4,7 +4,7 @@ import pytest
 
 from stratalog.llm.boosting import BoostedTrees
 from stratalog.llm.pii import find, redact, trained
-from stratalog.llm.pii_candidates import KINDS
+from stratalog.llm.pii_candidates import KINDS, Lexicon, candidates
 from stratalog.llm.pii_training import Writer
 
 GIVEN = tuple(a + b for a in "Ael Bri Cor Dal Eri Fen Gil Hes".split() for b in "ard ek elle ik ina isse or wyn ana uve".split() if (a, b) != ("Cor", "uve"))
@@ -71,3 +71,24 @@ def test_frames(spark, detector):
     out = {r["doc_id"]: r["text"] for r in redact(df, detector).collect()}
     assert out[1] == "🔑 Call me on [PHONE] now." and out[2] is None and out[3] == "" and out[4] == long[:-18] + "[PHONE] now." and out[None] == "Mail [EMAIL]"
     assert find(df.where("false"), detector).count() == 0 and set(detector.models) == set(KINDS)
+
+
+#: Given names outside the list and family names without one of the known ends.
+OTHERS = [("Quoc", "Nguyen"), ("Tamsin", "Okafor"), ("Wojciech", "Zając"), ("Bo", "Li"), ("Siobhan", "Fitzgerald"), ("Zoë", "O'Tarrel"), ("Ibrahim", "Haddad"), ("Ñora", "Śliwak")]
+
+
+def test_generator_recall_of_names_unlike_the_list():
+    lexicon, missed = Lexicon(list(GIVEN), list(BRANDS)), []
+    assert not any(any(lexicon.likeness(w)) for pair in OTHERS for w in pair)
+    for g, f in OTHERS:
+        plain = [f"{g} {f}", f"{g} K. {f}", f"{f}, {g}", f"{g[0]}. {f}", f"{f}, {g[0]}.", f"{g} van der {f}", f"{g} {f}".upper(), f"{g} de la {f}".lower()]
+        forms = [("It came late. ", s, " was told so.") for s in plain] + [("regards, ", f"{g} {f}".lower(), ""), ("i spoke to ", f"{f}, {g}".lower(), " twice"), ("", f"{g} {f}".lower(), "さんが親切でした。"), ("and ", f"{g} {f}".lower(), " from the shop")]
+        for before, name, after in forms:
+            if (len(before), len(before) + len(name)) not in {(c.start, c.end) for c in candidates(before + name + after, lexicon) if c.kind == "name"}:
+                missed.append(before + name + after)
+    assert missed == []
+
+
+@pytest.mark.parametrize("marked", ["C'est vraiment soigné.\n\n{Briard Śliwak}, du magasin, a été adorable.", "{Briana O'Tarrel}, de la tienda, fue muy amable.", "Regards, {Tamsin Okafor}", "I spoke to {Wojciech Zając} twice.", "Ich habe mit {Ibrahim Haddad} telefoniert."])
+def test_names_unlike_the_list(detector, marked):
+    assert [(k, a) for k, a, _ in detector.mentions([marked.replace("{", "").replace("}", "")])[0]] == [("name", marked.index("{"))]

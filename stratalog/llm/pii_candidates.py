@@ -62,13 +62,13 @@ _FRENCH = ("rue", "avenue", "av.", "bd", "boulevard", "chemin", "place", "quai",
 _ENGLISH = ("st", "r", "lane", "ln", "ave", "dr", "close", "way", "place", "boul", "blvd", "mews", "hill", "gardens", "court", "square")
 _STREETS = (_ENGLISH, _FRENCH, _SPANISH, _GERMAN)
 _STREET_EN = r"(?:Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Row|Avenue|Ave\.?|Drive|Dr\.?|Close|Court|Way|Terrace|Square|Place|Boulevard|Blvd\.?|Crescent|Mews|Hill|Gardens)"
-_HOUSE = r"\d{1,4}(?:-\d{1,4})? ?(?:[a-f](?![\w]))?"
+_HOUSE = r"\d{1,4}(?:-\d{1,4})? ?(?:[a-f](?!{_W}))?"
 _FLAT = r"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite) \d{1,4}[a-z]?, )?"
 _ADDRESSES = [
-    regex.compile(rf"(?i)(?<![\w.,/€$£-]){_FLAT}{_HOUSE},? ?{_NAME_WORD}(?: {_NAME_WORD})? {_STREET_EN}(?![\w'])"),
-    regex.compile(rf"(?i)(?<![\w.,/-])\d{{1,4}}(?: ?(?:bis|ter|quater|[a-f]))?,? (?:rue|avenue|av\.|bd|boulevard|chemin|place|quai|impasse|allée|cours|route|square)(?: (?:de la|de l['’]|des|du|de))? ?{_NAME_WORD}"),
-    regex.compile(rf"(?i)(?<![\w/])(?:calle|c/|avda\.|avenida|av\.|plaza|pza\.|paseo|camino|ronda|travesía|carretera)(?: (?:de la|de los|de las|del|de))? ?{_NAME_WORD}(?: {_NAME_WORD})?,? (?:n\.?º ?)?\d{{1,4}}(?!\w{{2}})"),
-    regex.compile(rf"(?i)(?<!\w)(?:(?:am|an der|im|zum|zur|auf dem|unter den) )?[{LETTER}'-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer)\.? \d{{1,4}} ?(?:[a-z](?!\w))?"),
+    regex.compile(rf"(?i)(?<![A-Za-z0-9_À-ɏ.,/€$£-]){_FLAT}{_HOUSE},? ?{_NAME_WORD}(?: {_NAME_WORD})? {_STREET_EN}(?!{_W}|')"),
+    regex.compile(rf"(?i)(?<![A-Za-z0-9_À-ɏ.,/-])\d{{1,4}}(?: ?(?:bis|ter|quater|[a-f]))?,? (?:rue|avenue|av\.|bd|boulevard|chemin|place|quai|impasse|allée|cours|route|square)(?: (?:de la|de l['’]|des|du|de))? ?{_NAME_WORD}"),
+    regex.compile(rf"(?i)(?<![A-Za-z0-9_À-ɏ/])(?:calle|c/|avda\.|avenida|av\.|plaza|pza\.|paseo|camino|ronda|travesía|carretera)(?: (?:de la|de los|de las|del|de))? ?{_NAME_WORD}(?: {_NAME_WORD})?,? (?:n\.?º ?)?\d{{1,4}}(?!{_W}{{2}})"),
+    regex.compile(rf"(?i)(?<!{_W})(?:(?:am|an der|im|zum|zur|auf dem|unter den) )?[{LETTER}'-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer)\.? \d{{1,4}} ?(?:[a-z](?!{_W}))?"),
 ]
 #: Words that stand before a family name and belong to it.
 _PARTICLES = r"(?:von der|van der|van den|de la|de los|von|van|zu|de|del|della|di|da|dos|du|le|la|ter|ten)"
@@ -88,7 +88,7 @@ _NOT_NAMES = frozenset(
 _NAMES = [
     # given, perhaps an initial, perhaps particles, family
     ("gf", regex.compile(rf"(?P<g>{_NAME_WORD}) (?P<m>(?:\p{{Lu}}\.\s?){{1,2}})?(?P<p>(?i:{_PARTICLES}) )?(?P<f>{_NAME_WORD})")),
-    ("if", regex.compile(rf"(?<![\w.'-])(?P<g>[A-Za-zÀ-ɏ]\.)(?: ?[A-Z]\.)? ?(?P<p>(?i:{_PARTICLES}) )?(?P<f>{_NAME_WORD})")),
+    ("if", regex.compile(rf"(?<![A-Za-z0-9_À-ɏ.'-])(?P<g>[A-Za-zÀ-ɏ]\.)(?: ?[A-Z]\.)? ?(?P<p>(?i:{_PARTICLES}) )?(?P<f>{_NAME_WORD})")),
     ("fg", regex.compile(rf"(?P<p>(?i:{_PARTICLES}) )?(?P<f>{_NAME_WORD}), ?(?P<g>{_NAME_WORD})(?P<m> \p{{Lu}}\.)?")),
     ("fi", regex.compile(rf"(?P<p>(?i:{_PARTICLES}) )?(?P<f>{_NAME_WORD}), ?(?P<g>[A-Za-zÀ-ɏ]\.)")),
 ]
@@ -162,7 +162,7 @@ _MONEY = regex.compile(r"[€$£]\s?$|\b(?:eur|usd|gbp)\s?$")
 _DIGIT_GROUPS, _LETTER_GROUPS, _TOP = regex.compile(r"\d+"), regex.compile(r"[A-Za-z]+"), regex.compile(r"[A-Za-z]{2,}$")
 _TOWN = regex.compile(r",? (?:\d{5} )?[A-Z]")
 #: What before an address shows that the address began earlier.
-_INNER = regex.compile(r"(?:(?:flat|apt\.?|apartment|unit|suite) \w+, |(?<!\w)(?:am|an der|im|zum|zur|auf dem|unter den) |\d[ -])$")
+_INNER = regex.compile(r"(?:(?:flat|apt\.?|apartment|unit|suite) \w+, |(?<![A-Za-z0-9_À-ɏ])(?:am|an der|im|zum|zur|auf dem|unter den) |\d[ -])$")
 _DATE = regex.compile(r"(?:\d{4}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./]\d{2,4})$")
 
 

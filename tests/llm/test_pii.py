@@ -92,3 +92,15 @@ def test_generator_recall_of_names_unlike_the_list():
 @pytest.mark.parametrize("marked", ["C'est vraiment soigné.\n\n{Briard Śliwak}, du magasin, a été adorable.", "{Briana O'Tarrel}, de la tienda, fue muy amable.", "Regards, {Tamsin Okafor}", "I spoke to {Wojciech Zając} twice.", "Ich habe mit {Ibrahim Haddad} telefoniert."])
 def test_names_unlike_the_list(detector, marked):
     assert [(k, a) for k, a, _ in detector.mentions([marked.replace("{", "").replace("}", "")])[0]] == [("name", marked.index("{"))]
+
+
+@pytest.mark.parametrize("address", ["41 Lanternhall Road", "7b Mill Street", "52 bis rue du Marlpit", "Calle Tollbrook, 12", "Pinchbeckweg 193", "Am Lindenplatz 4a"])
+@pytest.mark.parametrize("before, after", [("返品先:", "また買いたい"), ("返品先は", "です"), ("住所", "。"), ("カタカナ", "カタカナ")])
+def test_address_beside_kana(detector, address, before, after):
+    text = before + address + after
+    assert (len(before), len(before) + len(address)) in {(c.start, c.end) for c in candidates(text, detector.lexicon) if c.kind == "address"}
+
+
+@pytest.mark.parametrize("marked", ["返品先:{41 Lanternhall Road}また買いたいです。", "住所は{Pinchbeckweg 193}です。", "担当は{F. Thornmere}さんです。"])
+def test_mention_beside_kana(detector, marked):
+    assert [a for _, a, _ in detector.mentions([marked.replace("{", "").replace("}", "")])[0]] == [marked.index("{")]

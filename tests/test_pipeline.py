@@ -11,7 +11,7 @@ from stratalog.operators.delivery_dedup import Bloom, DeliveryLog, split_deliver
 from stratalog.operators.incremental import IncrementalProcessor
 from stratalog.operators.key_ledger import KeyLedger
 from stratalog.operators.tree_aggregate import distinct_versions, tree_levels
-from stratalog.plans.pipeline_queries import succeeded_ranges
+from stratalog.plans.pipeline_queries import p5_by_batch, succeeded_ranges
 from stratalog.runtime import CommitConflict, VersionLog
 
 
@@ -228,3 +228,15 @@ def test_bloom_has_no_false_negatives():
     b = Bloom(known)
     assert b.may_contain(known).all() and b.may_contain(other).mean() < 0.01
     assert not Bloom(known[:0]).may_contain(other).any()
+
+
+@pytest.mark.parametrize("shift", [0, -40])
+def test_by_batch_takes_null_zero_and_negative_arrivals(spark, tmp_path, shift):
+    rows = [(None, "a", 1), (-7, "b", 1), (0, "c", 1), (1, "a", 1), (2, "b", 1), (10, "d", 2), (20, "c", 1), (25, "e", None), (30, "d", 2), (30, "f", 3)]
+    rows = [(None if d is None else d + shift, k, v) for d, k, v in rows]
+    spark.createDataFrame(rows, "delivery_id long, key string, version long").write.parquet(f"{tmp_path}/versioned_keys.parquet")
+    first = {}
+    for d, k, v in rows:
+        a = -(2**63) if d is None else d
+        first[k, v] = min(first.get((k, v), a), a)
+    assert got(p5_by_batch(spark, str(tmp_path))) == sorted([(None if a == -(2**63) else a,) for a in first.values()], key=repr)

@@ -5,12 +5,16 @@ from __future__ import annotations
 import socket
 import socketserver
 import threading
+from collections.abc import Iterable
+from itertools import islice
 
 from stratalog.net.session import Session
 from stratalog.store import Store
 
 #: Fixed values of the protocol.
 PORT, MAX_CONNECTIONS, MAX_LINE = 7070, 128, 65_536
+#: Lines of a reply that are sent together.
+BLOCK = 256
 
 
 class _Handler(socketserver.StreamRequestHandler):
@@ -19,7 +23,7 @@ class _Handler(socketserver.StreamRequestHandler):
 
     def handle(self) -> None:
         if not self.server.enter(self.request):
-            self._send("ERR server at capacity")
+            self._send(["ERR server at capacity"])
             return
         session = Session(self.server.store)
         try:
@@ -30,11 +34,10 @@ class _Handler(socketserver.StreamRequestHandler):
                     return  # the client left; a fragment is no command
                 line = raw.decode("utf-8", "replace").removesuffix("\n").removesuffix("\r")
                 if not raw.endswith(b"\n") or len(line) > MAX_LINE:
-                    self._send("ERR line too long")
+                    self._send(["ERR line too long"])
                     return
                 response = session.execute(line)
-                if response.lines:
-                    self._send(*response.lines)
+                self._send(response.stream())
                 if response.last:
                     return
         except OSError:
@@ -43,8 +46,11 @@ class _Handler(socketserver.StreamRequestHandler):
             session.close()
             self.server.leave(self.request)
 
-    def _send(self, *lines: str) -> None:
-        self.wfile.write("".join(f"{x}\n" for x in lines).encode())
+    def _send(self, lines: Iterable[str]) -> None:
+        """Write the lines a block at a time, as they come."""
+        lines = iter(lines)
+        while block := list(islice(lines, BLOCK)):
+            self.wfile.write("".join(f"{x}\n" for x in block).encode())
 
 
 class StoreServer(socketserver.ThreadingTCPServer):

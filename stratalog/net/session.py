@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from collections.abc import Iterable, Iterator
 
 from stratalog.store import Snapshot, Store
 
 
-class Response(NamedTuple):
-    lines: tuple[str, ...] = ()
-    last: bool = False
+class Response:
+    """The lines that answer a command, and whether it ends the session. ``stream`` makes them as they are taken, so a scan
+    of any size passes through; ``lines`` is all of them at once. Either can be taken once."""
+
+    def __init__(self, lines: Iterable[str] = (), last: bool = False):
+        self._lines, self.last = lines, last
+
+    def stream(self) -> Iterator[str]:
+        return iter(self._lines)
+
+    @property
+    def lines(self) -> tuple[str, ...]:
+        return tuple(self._lines)
 
 
 class Session:
@@ -38,7 +48,7 @@ class Session:
         try:
             return command(words)
         except Exception as e:  # noqa: BLE001 - whatever fails is this command's answer
-            return _error(str(e).splitlines()[0] if str(e) else type(e).__name__)
+            return Response((_failure(e),))
 
     def _put(self, words: list[str]) -> Response:
         if len(words) < 3:
@@ -60,7 +70,17 @@ class Session:
 
     def _scan(self, words: list[str]) -> Response:
         lower, upper = (*(None if w == "-" else w for w in words[1:]), None, None)[:2]
-        return Response((*(f"ROW {k} {v}" for k, v in self._store.rows(lower, upper, self._snapshot)), "END"))
+        return Response(self._rows(lower, upper))
+
+    def _rows(self, lower: str | None, upper: str | None) -> Iterator[str]:
+        """One partition of the scan at a time; a failure on the way is the last line, in place of END."""
+        try:
+            for k, v in self._store.rows(lower, upper, self._snapshot):
+                yield f"ROW {k} {v}"
+        except Exception as e:  # noqa: BLE001
+            yield _failure(e)
+        else:
+            yield "END"
 
     def _open(self, _) -> Response:
         if self._snapshot is not None:
@@ -82,5 +102,9 @@ class Session:
             self._snapshot = None
 
 
+def _failure(e: Exception) -> str:
+    return f"ERR {str(e).splitlines()[0] if str(e) else type(e).__name__}"
+
+
 def _error(text: str) -> Response:
     return Response((f"ERR {text}",))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.runtime import BROADCAST_ROWS
+from stratalog.runtime import BROADCAST_BYTES, BROADCAST_ROWS, is_small
 
 
 def _tombstone() -> Column:
@@ -56,11 +56,11 @@ def get(log: DataFrame, key: str, version: int | None = None, runs: bool = False
     return newest(visible(log, version).where(F.col("key") == key), runs).where(~F.col("tombstone")).select("key", "value")
 
 
-def multi_get(log: DataFrame, keys: DataFrame, key: str = "key", version: int | None = None, runs: bool = False, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``(key, value)`` of those of ``keys`` that are live. Up to ``most`` distinct keys, checked by count, are broadcast and
-    filter the log before it is aggregated; more are joined with the aggregate, which has one row per key."""
+def multi_get(log: DataFrame, keys: DataFrame, key: str = "key", version: int | None = None, runs: bool = False, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``(key, value)`` of those of ``keys`` that are live. Up to ``most`` distinct keys of ``most_bytes`` together, both counted,
+    are broadcast and filter the log before it is aggregated; more are joined with the aggregate, which has one row per key."""
     wanted = keys.select(F.col(key).alias("key")).where("key is not null").distinct()
-    if wanted.limit(most + 1).count() <= most:
+    if is_small(wanted, most, most_bytes):
         return scan(log.join(F.broadcast(wanted), "key", "left_semi"), version=version, runs=runs)
     return scan(log, version=version, runs=runs).join(wanted, "key", "left_semi")
 

@@ -2,30 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from stratalog.runtime import shuffle_partitions, written
 
 
-def assign_versions(rows: DataFrame, order: list[str], first: int = 1, into: str = "version") -> DataFrame:
+def assign_versions(rows: DataFrame, order: list[str], first: int = 1, into: str = "version", observation: Observation | None = None, measures: list[Column] = ()) -> DataFrame:
     """Number the rows first, first + 1, ... in the order of ``order``; rows that tie there are numbered in the order of all
     their columns, and equal rows arbitrarily, which can't be told apart.
 
-    The rows are range-partitioned and written once; only the row count of each partition goes to the driver, which adds
-    them up. Nulls sort first. An empty table stays empty. A column named ``into`` is replaced.
+    The rows are range-partitioned and written once; only the row count of each file, which its footer has, goes to the
+    driver, which adds them up. ``observation`` gets ``measures`` of the rows in the same pass. Nulls sort first. An empty
+    table stays empty. A column named ``into`` is replaced.
     """
     rows = rows.drop(into)
     keys = order + [c for c, t in rows.dtypes if c not in order and not t.startswith(("map", "variant"))]
     spark = rows.sparkSession
     spread = rows.repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
+    spread = spread.observe(observation, *measures) if observation is not None else spread
     placed = written(spread.withColumn("_id", F.monotonically_increasing_id()), "placed")
-    part = F.expr("shiftright(_id, 33)")
+    # no column but the file's name is asked for, so the readers open only the footers
+    files = placed.groupBy(F.col("_metadata.file_name").alias("f")).agg(F.count("*").alias("n")).collect()
+    counts: Counter[int] = Counter()
+    for r in files:
+        counts[int(r["f"].split("-")[1])] += r["n"]
     starts, total = {}, first
-    for p, n in sorted((r["p"], r["n"]) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()):
-        starts[p], total = total, total + n
+    for p in sorted(counts):
+        starts[p], total = total, total + counts[p]
     if not starts:
         return placed.drop("_id").withColumn(into, F.lit(None).cast("long"))
     base = F.broadcast(spark.createDataFrame(list(starts.items()), "_part int, _base long"))  # a row per partition
-    numbered = placed.withColumn("_part", part.cast("int")).join(base, "_part").withColumn(into, F.expr("_base + (_id & 8589934591)"))
+    part = F.expr("cast(shiftright(_id, 33) as int)")
+    numbered = placed.withColumn("_part", part).join(base, "_part").withColumn(into, F.expr("_base + (_id & 8589934591)"))
     return numbered.drop("_id", "_part", "_base")

@@ -12,7 +12,7 @@ from stratalog.operators import reads
 from stratalog.operators.retention import retain
 from stratalog.operators.versions import assign_versions
 from stratalog.plans.tables import table
-from stratalog.runtime import fresh_path, shuffle_partitions, written
+from stratalog.runtime import fresh_path, written
 from stratalog.sources.runs import metadata, read_runs, write_runs
 from stratalog.sources.wal import Durability
 from stratalog.store import Store
@@ -151,20 +151,11 @@ def compaction_invariance(spark, d):
     return reads.scan(retain(log, _at(log, 5), bottom=True, runs=True), version=_at(log, 8))
 
 
-def shard_histogram_count(spark, d):
-    shards = _log(spark, d, "events").withColumn("shard", F.pmod(F.hash("key"), F.lit(shuffle_partitions(spark)))).groupBy("shard").agg(F.count("*").alias("n"))
-    return shards.agg(F.sum("n").alias("records"))
-
-
 def assign_versions_query(spark, d):
     rows = table(spark, d, "written").select("arrival_no", "key")
     return assign_versions(rows, ["arrival_no"])
 
 
-def version_resume(spark, d):
-    return table(spark, d, "runs").agg((F.max("max_version") + 1).alias("next_version"))
-
-
 def run_metadata(spark, d):
     return metadata(_log(spark, d, "versioned_keys"), ["level", "seq"])
 
@@ -247,7 +238,7 @@ QUERIES = {
     for f in (
         full_scan_now, full_scan_as_of, store_scan_now, store_scan_as_of, point_get_now, point_get_as_of, point_get_deleted, point_get_missing, multi_get, range_scan_half_open, range_scan_open_lower, range_scan_open_upper,
         range_scan_inverted_count, scan_first_rows, key_history, counters, live_key_count, snapshot_diff, merge_runs_dedup, unicode_keys_scan, retain_no_snapshot, retain_watermark, reclaim_tombstones_bottom,
-        reclaim_tombstones_not_bottom, compaction_invariance, shard_histogram_count, assign_versions_query, version_resume, run_metadata, run_round_trip, flush_reopen_scan, bulk_as_of_scan, stream_ingest_scan, protocol_transcript, as_of_join_orders,
+        reclaim_tombstones_not_bottom, compaction_invariance, assign_versions_query, run_metadata, run_round_trip, flush_reopen_scan, bulk_as_of_scan, stream_ingest_scan, protocol_transcript, as_of_join_orders,
     )
 }
 
@@ -306,9 +297,7 @@ SQL = {
     "reclaim_tombstones_bottom": _sql_retain("events", 5, True),
     "reclaim_tombstones_not_bottom": _sql_retain("events", 5, False),
     "compaction_invariance": _sql_scan(_K, f"version <= {_sql_at(_K, 8)}", True),
-    "shard_histogram_count": "SELECT count(*) AS records FROM events",
     "assign_versions": "SELECT arrival_no, key, row_number() OVER (ORDER BY arrival_no) AS version FROM written",
-    "version_resume": "SELECT max(version) + 1 AS next_version FROM versioned_keys",
     "run_metadata": f"""SELECT level, seq, min(key) AS min_key, max(key) AS max_key, count(*) AS entry_count, min(version) AS min_version, max(version) AS max_version, sum({_BYTES})::BIGINT AS size_bytes
       FROM versioned_keys GROUP BY level, seq""",
     "run_round_trip": "SELECT key, version, tombstone, value FROM versioned_keys",

@@ -12,8 +12,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only when it has at most so many rows; beyond, the join shuffles.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only when it was counted to have at most so many rows and bytes; beyond, the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,10 +50,58 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 
 def clean(spark: SparkSession) -> None:
-    """Delete all intermediate data of this application; results that still read it can't be evaluated afterwards."""
+    """Delete all intermediate data of this application and its catalog entries; results that still read them can't be
+    evaluated afterwards."""
+    spark.sql(f"DROP DATABASE IF EXISTS {database(spark)} CASCADE")
     SharedFiles(spark).delete(_own_folder(spark))
 
 
+def database(spark: SparkSession) -> str:
+    """Name of this application's own database, which holds the entries of bucketed tables."""
+    return "stratalog_" + "".join(c if c.isalnum() else "_" for c in spark.sparkContext.applicationId).lower()
+
+
+class BucketedTables:
+    """Tables hash-bucketed by some columns under a folder, so that joins and aggregates on them move nothing.
+
+    The files are what lasts. The catalog entry of a table, in this application's own database, is made when it is first
+    read and can be made again at any time; ``drop`` removes both.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, columns: str, keys: list[str]):
+        self.spark, self.root, self.columns, self.keys = spark, root, columns, keys
+
+    def write(self, rows: DataFrame, name: str, buckets: int, grouped: bool = False) -> str:
+        """Write ``rows`` as a table of so many buckets. ``grouped`` says that they are hash-partitioned by the keys into the
+        session's number of shuffle partitions; where that is another number than ``buckets`` they are moved once more."""
+        placed = rows if grouped and buckets == shuffle_partitions(self.spark) else rows.repartition(buckets, *self.keys)
+        self._database()
+        (
+            placed.sortWithinPartitions(*self.keys).write.bucketBy(buckets, *self.keys).sortBy(*self.keys)
+            .option("path", f"{self.root}/{name}").saveAsTable(self._full(name))
+        )
+        return name
+
+    def read(self, name: str, buckets: int) -> DataFrame:
+        if not self.spark.catalog.tableExists(self._full(name)):
+            self._database()
+            by = ", ".join(self.keys)
+            self.spark.sql(
+                f"CREATE TABLE {self._full(name)} ({self.columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{self.root}/{name}'"
+            )
+        return self.spark.table(self._full(name))
+
+    def drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._full(name)}")
+        SharedFiles(self.spark).delete(f"{self.root}/{name}")
+
+    def _full(self, name: str) -> str:
+        return f"{database(self.spark)}.`{name}`"
+
+    def _database(self) -> None:
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database(self.spark)} LOCATION '{_own_folder(self.spark)}/database'")
+
+
 def _clean_at_exit(spark: SparkSession) -> None:
     try:
         if spark.sparkContext._jsc is not None:
@@ -69,9 +117,27 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only after its row count was checked against ``rows``."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes that a row takes: those of its texts, and 16 for each column. Nested values count as their JSON."""
+    total = F.lit(16 * len(df.columns)).cast("long")
+    for name, kind in df.dtypes:
+        column = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(column), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+    return total
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most so many rows and bytes, counted in one distributed pass."""
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()
+    return n <= rows and size <= bytes
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast only after its rows and bytes were counted and are within the bounds."""
+    return F.broadcast(df) if is_small(df, rows, bytes) else df
 
 
 def fingerprint(*columns: Column | str) -> Column:
@@ -148,6 +214,15 @@ class SharedFiles:
         fs, p = self._fs(path), self._path(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
+    def sizes(self, path: str) -> list[tuple[str, int]]:
+        """Names and lengths of the files in a folder; an absent one has none."""
+        fs, p = self._fs(path), self._path(path)
+        return sorted((s.getPath().getName(), s.getLen()) for s in fs.listStatus(p) if s.isFile()) if fs.exists(p) else []
+
+    def age(self, path: str, now: float) -> float:
+        """Seconds since a file or folder was last changed."""
+        return now - self._fs(path).getFileStatus(self._path(path)).getModificationTime() / 1000
+
     def size(self, path: str) -> int:
         return self._fs(path).getContentSummary(self._path(path)).getLength()
 

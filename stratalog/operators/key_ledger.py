@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.runtime import VersionLog, shuffle_partitions
+from stratalog.runtime import BucketedTables, NameSet, VersionLog, shuffle_partitions
 
 #: So many segments are probed one after the other before they are merged.
 MAX_SEGMENTS = 8
+#: Keys of a bucket beyond which a merge doubles the number of buckets.
+BUCKET_KEYS = 16_000_000
 
 
 class KeyLedger:
@@ -19,7 +21,8 @@ class KeyLedger:
     Each segment is a bucketed table, so the sort-merge join of a batch with the ledger moves only the batch's distinct
     keys: the ledger is read bucket by bucket where it lies. ``probe`` answers a batch and appends its new keys as one
     segment, published by an atomic rename. A batch is known by an id; probing the same id again, say after a failure,
-    ignores what that id had appended and gives the same answers, until the batch is merged with older ones.
+    ignores what that id had appended and gives the same answers, until the batch is merged with older ones. Merges take
+    more buckets when those have grown, and ``vacuum`` deletes what they replaced.
 
     Nulls: a record with a null key was never seen, and null is not recorded. A null arrival comes before all others
     (it counts as the first). Records of the same key and arrival are the same record, so neither has seen the other.
@@ -28,43 +31,32 @@ class KeyLedger:
 
     def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
         self.spark, self.root = spark, root
-        self.log = VersionLog(spark, root)
+        self.log, self._names = VersionLog(spark, root), NameSet(spark, root)
+        self._tables = BucketedTables(spark, root, "key STRING, first BIGINT", ["key"])
         self.buckets = self.log.current()[1].get("buckets") or buckets or shuffle_partitions(spark)
 
     def _write(self, keys: DataFrame, grouped: bool = True) -> str:
-        """Write distinct keys ``(key, first)`` as a bucketed segment."""
-        name = f"ledger_{uuid.uuid4().hex}"
-        # keys come grouped by key; only another number of partitions has to be changed into that of the buckets
-        placed = keys if grouped and self.buckets == shuffle_partitions(self.spark) else keys.repartition(self.buckets, "key")
-        (
-            placed.sortWithinPartitions("key")
-            .write.bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.root}/{name}").saveAsTable(name)
-        )
-        return name
+        """Write distinct keys ``(key, first)`` as a segment."""
+        return self._tables.write(keys, f"ledger_{uuid.uuid4().hex}", self.buckets, grouped)
 
     def _segment(self, name: str) -> DataFrame:
-        if not self.spark.catalog.tableExists(name):
-            self.spark.sql(
-                f"CREATE TABLE {name} (key STRING, first BIGINT) USING parquet "
-                f"CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{name}'"
-            )
-        return self.spark.table(name)
-
-    def _publish(self, number: int, segments: list[dict], merged: list[str]) -> None:
+        return self._tables.read(name, self.buckets)
+
+    def _publish(self, number: int, segments: list[dict], merged: str | None) -> None:
         self.log.commit(number + 1, {"buckets": self.buckets, "segments": segments, "merged": merged})
 
     def seed(self, rows: DataFrame, key: str, batch: str = "seed") -> None:
         """Record the distinct keys of earlier data."""
         number, document = self.log.current()
-        if any(s["batch"] == batch for s in document.get("segments", [])):
+        if any(s["batch"] == batch for s in document.get("segments", [])) or self._names.has(document.get("merged"), batch):
             return
         keys = rows.select(F.col(key).alias("key")).where("key is not null").distinct().withColumn("first", F.lit(None).cast("long"))
-        self._publish(number, document.get("segments", []) + [{"batch": batch, "name": self._write(keys)}], document.get("merged", []))
+        self._publish(number, document.get("segments", []) + [{"batch": batch, "name": self._write(keys)}], document.get("merged"))
 
     def probe(self, batch: DataFrame, key: str, arrival: str, batch_id: str) -> DataFrame:
         """``(arrival, key, seen)`` for each record of the batch, under the names given."""
         number, document = self.log.current()
-        if batch_id in document.get("merged", []):
+        if self._names.has(document.get("merged"), batch_id):
             raise ValueError(f"batch {batch_id} is merged into the ledger and can't be probed again")
         segments = [s for s in document.get("segments", []) if s["batch"] != batch_id]
         rows = batch.select(F.col(arrival).alias("first"), F.col(key).alias("key"))
@@ -76,10 +68,11 @@ class KeyLedger:
             new = new.join(known.hint("merge"), F.col("key") == F.col("_known"), "left").where("_known is null").drop("_known")
         added = self._write(new)
         segments = segments + [{"batch": batch_id, "name": added}]
-        self._publish(number, segments, document.get("merged", []))
+        self._publish(number, segments, document.get("merged"))
+        answers = self._answers(rows, self._segment(added), key, arrival)
         if len(segments) > MAX_SEGMENTS:
             self.compact(keep=added)
-        return self._answers(rows, self._segment(added), key, arrival)
+        return answers
 
     @staticmethod
     def _answers(rows: DataFrame, added: DataFrame, key: str, arrival: str) -> DataFrame:
@@ -91,19 +84,52 @@ class KeyLedger:
         return rows.join(firsts, on, "left").select(F.col("first").alias(arrival), F.col("key").alias(key), seen.alias("seen"))
 
     def compact(self, keep: str | None = None) -> None:
-        """Merge all segments but ``keep`` into one, bucket by bucket."""
+        """Merge all segments but ``keep`` into one, bucket by bucket; with buckets that have grown too large, all segments
+        into twice as many or more."""
         number, document = self.log.current()
-        old = [s for s in document["segments"] if s["name"] != keep]
-        union = None
-        for s in old:
-            part = self._segment(s["name"])
-            union = part if union is None else union.unionByName(part)
-        batches = document.get("merged", []) + [s["batch"] for s in old if s["batch"] != "merged"]
-        merged = {"batch": "merged", "name": self._write(union.select("key", F.lit(None).cast("long").alias("first")), grouped=False)}
-        self._publish(number, [merged] + [s for s in document["segments"] if s["name"] == keep], batches)
+        segments = document.get("segments", [])
+        rows = sum(self._segment(s["name"]).count() for s in segments)  # from the footers
+        buckets = self.buckets
+        while rows > buckets * BUCKET_KEYS:
+            buckets *= 2
+        if buckets != self.buckets:
+            self.rebucket(buckets)
+            return
+        old = [s for s in segments if s["name"] != keep]
+        if old:
+            merged = {"batch": None, "name": self._write(self._union(old), grouped=False)}
+            self._publish(number, [merged] + [s for s in segments if s["name"] == keep], self._merged(document, old))
 
-    def keys(self) -> DataFrame:
+    def rebucket(self, buckets: int) -> None:
+        """Write the whole ledger as one segment of another number of buckets."""
+        number, document = self.log.current()
+        old = document.get("segments", [])
+        union = self._union(old)
+        before, self.buckets = self.buckets, buckets
+        try:
+            merged = [{"batch": None, "name": self._write(union, grouped=False)}] if old else []
+            self._publish(number, merged, self._merged(document, old))
+        except BaseException:
+            self.buckets = before
+            raise
+
+    def _union(self, segments: list[dict]) -> DataFrame:
         union = self.spark.createDataFrame([], "key string, first bigint")
-        for s in self.log.current()[1].get("segments", []):
-            union = union.unionByName(self._segment(s["name"]))
-        return union.select("key")
+        for s in segments:
+            union = union.unionByName(self._tables.files(s["name"]))
+        return union.select("key", F.lit(None).cast("long").alias("first"))
+
+    def _merged(self, document: dict, segments: list[dict]) -> str | None:
+        return self._names.with_added(document.get("merged"), [s["batch"] for s in segments if s["batch"] is not None])
+
+    def keys(self) -> DataFrame:
+        return self._union(self.log.current()[1].get("segments", [])).select("key")
+
+    def vacuum(self) -> None:
+        """Delete segments and lists of merged batches that the current document does not name; answers not yet evaluated that
+        read them fail."""
+        document = self.log.current()[1]
+        keep = {s["name"] for s in document.get("segments", [])} | {document.get("merged")}
+        for name in self.log.files.names(self.root):
+            if name.startswith(("ledger_", "names_")) and name not in keep:
+                self._tables.drop(name)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalog.functions.intervals import merged_ranges, within_ranges
 from stratalog.operators.change_feed import events, replay
-from stratalog.operators.delivery_dedup import DeliveryLog, split_deliveries
+from stratalog.operators.delivery_dedup import DeliveryLog, repeats, split_deliveries
 from stratalog.operators.incremental import IncrementalProcessor
 from stratalog.operators.key_ledger import KeyLedger
 from stratalog.operators.tree_aggregate import distinct_versions
@@ -42,6 +42,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return processor.run(rows).select("feed", "key", "version")
 
 
+def p1_rerun(spark: SparkSession, d: str) -> DataFrame:
+    """A run that is repeated after it was published gives its records again, and leaves none for another run."""
+    processor = IncrementalProcessor(spark, fresh_path(spark, "incremental"), ["feed", "key", "version"], "arrival", ["value"])
+    rows = _feeds(spark, d)
+    ranges = written(succeeded_ranges(table(spark, d, "sync_runs")), "ranges")
+    processor.run(within_ranges(rows, ranges, "feed", "arrival").where("covered"), "past")
+    processor.run(rows, "now")
+    again, later = processor.run(rows, "now"), processor.run(rows, "later").count()
+    return again.select("feed", "key", "version", F.lit(later).alias("later"))
+
+
 def p1_state_size(spark: SparkSession, d: str) -> DataFrame:
     """Records that the state knows after a run over everything, by feed."""
     processor = IncrementalProcessor(spark, fresh_path(spark, "incremental"), ["feed", "key", "version"], "arrival", ["value"])
@@ -103,7 +114,7 @@ def p4_error_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return split_deliveries(table(spark, d, "versioned_keys").select("delivery_id", "key", "version"), "key", "version", "delivery_id", keep=False).select("delivery_id")
+    return repeats(table(spark, d, "versioned_keys"), "key", "version", "delivery_id").select("delivery_id")
 
 
 def p5_kept(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +136,7 @@ def p5_by_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_state_size": p1_state_size, "p2_found": p2_found, "p2_per_key": p2_per_key, "p3_found": p3_found, "p3_current": p3_current,
+    "p1_found": p1_found, "p1_rerun": p1_rerun, "p1_state_size": p1_state_size, "p2_found": p2_found, "p2_per_key": p2_per_key, "p3_found": p3_found, "p3_current": p3_current,
     "p4_found": p4_found, "p4_verdicts": p4_verdicts, "p4_error_rate": p4_error_rate, "p5_found": p5_found, "p5_kept": p5_kept, "p5_by_batch": p5_by_batch,
 }
 
@@ -140,8 +151,7 @@ _SEEN = """
     SELECT i.incoming_id, i.key IS NOT NULL AND (o.key IS NOT NULL OR i.incoming_id > f.first) AS seen
     FROM incoming i LEFT JOIN (SELECT DISTINCT key FROM versioned_keys) o ON i.key = o.key
     LEFT JOIN (SELECT key, min(incoming_id) AS first FROM incoming GROUP BY key) f ON i.key = f.key"""
-SQL = {
-    "p1_found": f"""
+_UNPROCESSED = f"""
     WITH feeds AS ({_FEEDS}),
     runs1 AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY logged_at DESC) AS rn FROM sync_runs),
     ok AS (SELECT feed, first_arrival, last_arrival FROM runs1 WHERE rn = 1 AND lower(trim(status)) = 'succeeded'),
@@ -151,7 +161,10 @@ SQL = {
     past AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feed, key, version ORDER BY arrival DESC) AS rn FROM flagged WHERE done) WHERE rn = 1)
     SELECT n.feed, n.key, n.version FROM newest n LEFT JOIN past p
     ON n.feed = p.feed AND n.key IS NOT DISTINCT FROM p.key AND n.version IS NOT DISTINCT FROM p.version
-    WHERE p.feed IS NULL OR n.value IS DISTINCT FROM p.value""",
+    WHERE p.feed IS NULL OR n.value IS DISTINCT FROM p.value"""
+SQL = {
+    "p1_found": _UNPROCESSED,
+    "p1_rerun": f"SELECT *, 0::BIGINT AS later FROM ({_UNPROCESSED})",
     "p1_state_size": f"SELECT feed, count(*) AS records FROM (SELECT DISTINCT feed, key, version FROM ({_FEEDS})) GROUP BY feed",
     "p2_found": """
     WITH n AS (SELECT key, count(DISTINCT version) AS n FROM versioned_keys GROUP BY key)

@@ -82,6 +82,12 @@ class BucketedTables:
         )
         return name
 
+    def write_placed(self, rows: DataFrame, name: str, buckets: int) -> BucketedTables:
+        """Write rows that already lie in so many hash partitions of the keys, in their order, as a table that is not sorted."""
+        self._database()
+        rows.write.bucketBy(buckets, *self.keys).option("path", f"{self.root}/{name}").saveAsTable(self._full(name))
+        return self
+
     def read(self, name: str, buckets: int) -> DataFrame:
         if not self.spark.catalog.tableExists(self._full(name)):
             self._database()
@@ -91,6 +97,11 @@ class BucketedTables:
             )
         return self.spark.table(self._full(name))
 
+    def files(self, name: str) -> DataFrame:
+        """The rows of a table without its bucketing. Unions take this form: a union of bucketed tables can claim their
+        partitioning after the planner has given it up, and an aggregate on top is then wrong."""
+        return self.spark.read.schema(self.columns).parquet(f"{self.root}/{name}")
+
     def drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self._full(name)}")
         SharedFiles(self.spark).delete(f"{self.root}/{name}")
@@ -278,3 +289,26 @@ class VersionLog:
     def commit(self, number: int, document: dict) -> int:
         self.files.create(f"{self.root}/{number:012d}.json", json.dumps(document, ensure_ascii=False))
         return number
+
+
+class NameSet:
+    """A set of names that only grows, such as batches that were merged: a small Parquet table each time it changes, so the
+    documents of a version log name the set and do not hold it."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def _read(self, stored: str) -> DataFrame:
+        return self.spark.read.schema("name string").parquet(f"{self.root}/{stored}")
+
+    def has(self, stored: str | None, name: str) -> bool:
+        return stored is not None and bool(self._read(stored).where(F.col("name") == name).head(1))
+
+    def with_added(self, stored: str | None, names: list[str]) -> str | None:
+        """A new set with these names too; the old one stays as it is."""
+        if not names:
+            return stored
+        added = self.spark.createDataFrame([(n,) for n in names], "name string")
+        new = f"names_{uuid.uuid4().hex}"
+        (added if stored is None else added.unionByName(self._read(stored))).coalesce(1).write.parquet(f"{self.root}/{new}")
+        return new

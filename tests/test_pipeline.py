@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalog.functions.intervals import merged_ranges, within_ranges
 from stratalog.operators.change_feed import events, replay
-from stratalog.operators.delivery_dedup import Bloom, DeliveryLog, split_deliveries
+from stratalog.operators.delivery_dedup import Bloom, BloomChain, DeliveryLog, _screen, repeats, split_deliveries
 from stratalog.operators.incremental import IncrementalProcessor
 from stratalog.operators.key_ledger import KeyLedger
 from stratalog.operators.tree_aggregate import distinct_versions, tree_levels
@@ -187,6 +187,8 @@ def test_delivery_dedup(spark, seed, buckets):
         first[k, v] = min(i, first.get((k, v), i))
     kept = split_deliveries(df, "key", "version", "id", keep=True, time_buckets=buckets)
     assert sorted(r["id"] for r in kept.collect()) == sorted(first.values()) and kept.columns == df.columns
+    gone = [(i, k, v) for i, k, v, _ in rows if i != first[k, v]]
+    assert got(repeats(df, "key", "version", "id", buckets)) == sorted(gone, key=repr)
     dropped = split_deliveries(df, "key", "version", "id", keep=False, time_buckets=buckets)
     assert sorted(r["id"] for r in dropped.collect()) == sorted(i for i, k, v, _ in rows if i != first[k, v])
     assert split_deliveries(df.where("false"), "key", "version", "id", keep=True).count() == 0
@@ -225,9 +227,13 @@ def test_bloom_has_no_false_negatives():
 
     r = np.random.default_rng(1)
     known, other = r.integers(0, 2**63, 20_000, dtype=np.uint64), r.integers(0, 2**63, 20_000, dtype=np.uint64)
-    b = Bloom(known)
+    b, chain = Bloom(len(known)), BloomChain(3000)
+    b.add(known)
+    for i in range(0, len(known), 777):
+        chain.add(known[i : i + 777])
     assert b.may_contain(known).all() and b.may_contain(other).mean() < 0.01
-    assert not Bloom(known[:0]).may_contain(other).any()
+    assert chain.may_contain(known).all() and len(chain.filters) == 7 and chain.may_contain(other).mean() < 0.03
+    assert not BloomChain(0).may_contain(other).any()
 
 
 @pytest.mark.parametrize("shift", [0, -40])
@@ -240,3 +246,138 @@ def test_by_batch_takes_null_zero_and_negative_arrivals(spark, tmp_path, shift):
         a = -(2**63) if d is None else d
         first[k, v] = min(first.get((k, v), a), a)
     assert got(p5_by_batch(spark, str(tmp_path))) == sorted([(None if a == -(2**63) else a,) for a in first.values()], key=repr)
+
+
+def test_outlier_in_arrival_and_small_batches(spark):
+    """One arrival far off moves no border, and groups that batches cut come out whole."""
+    rows = [(i if i else 2**60, f"k{i % 37}", i % 5) for i in range(3000)] + [(7, "hot", 1)] * 50 + [(i, "hot", 1) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, key string, version long").repartition(3)
+    first = {}
+    for i, k, v in rows:
+        first[k, v] = min(i, first.get((k, v), i))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert got(repeats(df, "key", "version", "id")) == sorted([(i, k, v) for i, k, v in rows if i != first[k, v]], key=repr)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def test_screen_holds_filters_only(monkeypatch):
+    """Ten times the rows in a partition are screened in the same memory but for the filters."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    def batches(n):
+        for at in range(0, n, 5000):
+            i = np.arange(at, at + 5000, dtype=np.int64)
+            s = ((i * 4 // n) << 57) | (i << 20)
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array([f"key{x}" for x in i]), pa.array(i), pa.array(np.zeros(5000, np.int32)), pa.array(i), pa.array(np.ones(5000, np.int64))], ["s", "k", "v", "nulls", "a", "m"])
+
+    def peak(n):
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in _screen(n // 4)(batches(n)))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return rows, most - n * 12 // 8
+
+    peak(5000)
+    (a, small), (b, large) = peak(20_000), peak(200_000)
+    assert (a, b) == (20_000, 200_000) and large < 1.3 * small + 100_000
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date", "decimal(20,0)", "int"])
+def test_kinds_of_arrival(spark, kind):
+    to = {"timestamp": "timestamp_micros(i)", "timestamp_ntz": "cast(timestamp_micros(i) AS timestamp_ntz)", "date": "date_from_unix_date(cast(i AS int))"}.get(kind, f"cast(i AS {kind})")
+    df = spark.createDataFrame([(3, "a", 1), (1, "a", 1), (2, "b", None), (5, None, 1), (None, "b", None)], "i long, key string, version int").selectExpr(f"{to} AS at", "key", "version", "i")
+    want = [(r["at"], r["key"], r["version"]) for r in df.where("i IN (2, 3)").collect()]
+    assert got(repeats(df, "key", "version", "at")) == sorted(want, key=repr)
+    assert sorted(r["i"] for r in split_deliveries(df, "key", "version", "at", keep=False).collect()) == [2, 3]
+    with pytest.raises(ValueError):
+        repeats(df.withColumn("at", F.lit(1.5)), "key", "version", "at")
+
+
+def test_delivery_log_takes_more_partitions(spark, root, monkeypatch):
+    monkeypatch.setattr("stratalog.operators.delivery_dedup.MAX_BUCKETS", 2)
+    monkeypatch.setattr("stratalog.operators.delivery_dedup.PARTITION_ROWS", 20)
+    log, seen = DeliveryLog(spark, f"{root}/log", 2), 0
+    for i in range(4):
+        batch = spark.range(i * 15, i * 15 + 30).selectExpr("id", "concat('k', id) AS key", "1 AS version")
+        assert sorted(r["id"] for r in log.accept(batch, "key", "version", "id", str(i)).collect()) == list(range(seen, i * 15 + 30))
+        seen = i * 15 + 30
+    assert log.partitions > 2 and DeliveryLog(spark, f"{root}/log").partitions == log.partitions
+    log.vacuum()
+    assert log.accept(batch, "key", "version", "id", "again").count() == 0
+
+
+def test_incremental_run_ids(spark, root):
+    """Every record comes out under exactly one id, whether the process dies before or after the commit."""
+    df = spark.createDataFrame([(i, f"k{i}", 1, "x") for i in range(20)] + [(50, None, None, None)], SCHEMA)
+    make = lambda: IncrementalProcessor(spark, root, ["key", "version"], "id", ["value"])
+    p = make()
+    commit, p.log.commit = p.log.commit, lambda *_: (_ for _ in ()).throw(OSError("killed before the commit"))
+    with pytest.raises(OSError):
+        p.run(df, "one")
+    with pytest.raises(KeyError):
+        make().output("one")
+    p.log.commit = lambda *a: (commit(*a), (_ for _ in ()).throw(OSError("killed after the commit")))
+    with pytest.raises(OSError):
+        p.run(df, "one")
+    again = make()
+    more = df.unionByName(spark.createDataFrame([(60, "new", 1, "y")], SCHEMA))
+    assert got(again.run(more, "one").select("key")) == got(df.select("key")) and got(again.run(more, "two").select("key")) == [("new",)]
+    for i in range(10):
+        again.run(df, f"empty{i}")
+    again.vacuum()
+    assert got(make().output("one").select("key")) == got(df.select("key")) and make().run(more).count() == 0
+    again.acknowledge("one")
+    again.acknowledge("one")
+    again.vacuum()
+    with pytest.raises(KeyError):
+        make().output("one")
+    assert make().run(more, "one").count() == 0 and make().output("two").count() == 1
+
+
+def test_incremental_state_is_not_shuffled(spark, root):
+    df = spark.createDataFrame([(i, f"k{i}", 1, "x") for i in range(50)], SCHEMA)
+    p = IncrementalProcessor(spark, root, ["key", "version"], "id", ["value"])
+    p.run(df, "a")
+    p.run(df.withColumn("value", F.lit("z")), "b")
+    plan = p.select(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("SortMergeJoin") == 2
+    q = IncrementalProcessor(spark, f"{root}/other", ["key", "version"], "id", ["value"], buckets=3)
+    assert q.run(df).count() == 50 and q.run(df).count() == 0 and IncrementalProcessor(spark, f"{root}/other", ["key", "version"], "id", ["value"]).buckets == 3
+
+
+def test_ledger_vacuum_and_rebucketing(spark, root, monkeypatch):
+    from stratalog.runtime import SharedFiles
+
+    ledger = KeyLedger(spark, f"{root}/ledger", 2)
+    for i in range(12):
+        ledger.probe(spark.createDataFrame([(i, f"k{i}"), (i, "always")], "id long, key string"), "key", "id", f"b{i}")
+    assert "'b0'" not in str(ledger.log.current()[1])
+    ledger.vacuum()
+    names = [n for n in SharedFiles(spark).names(f"{root}/ledger") if n.startswith("ledger_")]
+    assert len(names) == len(ledger.log.current()[1]["segments"])
+    with pytest.raises(ValueError):
+        ledger.probe(spark.createDataFrame([(1, "x")], "id long, key string"), "key", "id", "b0")
+    monkeypatch.setattr("stratalog.operators.key_ledger.BUCKET_KEYS", 2)
+    ledger.compact()
+    again = KeyLedger(spark, f"{root}/ledger")
+    assert ledger.buckets == again.buckets == 8 and again.keys().count() == 13
+    assert [r["seen"] for r in again.probe(spark.createDataFrame([(1, "k3"), (2, "q")], "id long, key string"), "key", "id", "z").orderBy("id").collect()] == [True, False]
+
+
+def test_bucketed_tables_live_in_an_own_database(spark, root):
+    from stratalog.runtime import database
+
+    KeyLedger(spark, f"{root}/own").seed(spark.createDataFrame([("a",)], "key string"), "key")
+    assert not [t for t in spark.catalog.listTables("default") if not t.isTemporary] and spark.catalog.listTables(database(spark))
+
+
+def test_broadcast_is_bounded_by_bytes(spark):
+    from stratalog.runtime import is_small
+
+    df = spark.createDataFrame([("x" * 1000, [1, 2])] * 10, "key string, more array<int>")
+    assert is_small(df, 10, 20_000) and not is_small(df, 10, 9_000) and not is_small(df, 9, 20_000) and is_small(df.where("false"), 0, 0)

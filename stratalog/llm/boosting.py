@@ -6,10 +6,11 @@ import numpy as np
 
 
 class BoostedTrees:
-    """Logistic boosting of complete binary trees of a fixed depth over binned features."""
+    """Logistic boosting of complete binary trees of a fixed depth over binned features, each tree grown on a part of the
+    rows and of the features."""
 
-    def __init__(self, rounds: int = 120, depth: int = 4, rate: float = 0.15, bins: int = 16, smoothing: float = 1.0):
-        self.rounds, self.depth, self.rate, self.bins, self.smoothing = rounds, depth, rate, bins, smoothing
+    def __init__(self, rounds: int = 140, depth: int = 4, rate: float = 0.15, bins: int = 32, smoothing: float = 1.0, rows: float = 0.4, columns: float = 0.4, seed: int = 0):
+        self.rounds, self.depth, self.rate, self.bins, self.smoothing, self.rows, self.columns, self.seed = rounds, depth, rate, bins, smoothing, rows, columns, seed
         self.bias, self.trees, self.steps = 0.0, [], [(0.0, 0.5)]
 
     def fit(self, x: np.ndarray, y: np.ndarray, held_out: int = 4) -> BoostedTrees:
@@ -21,31 +22,36 @@ class BoostedTrees:
 
     def _grow(self, x: np.ndarray, y: np.ndarray) -> None:
         n, width = x.shape
-        edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(width)]
+        edges = [_edges(x[:, j], self.bins) for j in range(width)]
         binned = np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(edges)], 1)
         share = np.clip(y.mean() if n else 0.5, 0.01, 0.99)
         self.bias = float(np.log(share / (1 - share)))
         margin = np.full(n, self.bias)
-        offsets = np.arange(width) * self.bins
+        random = np.random.default_rng(self.seed)
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-margin))
             g, h = y - p, p * (1 - p) + 1e-6
-            node = np.zeros(n, int)
+            part = np.flatnonzero(random.random(n) < self.rows) if n > 2_000 else np.arange(n)
+            taken = np.sort(random.permutation(width)[: max(1, round(self.columns * width))]) if width > 8 else np.arange(width)
+            inside, offsets = binned[np.ix_(part, taken)], np.arange(len(taken)) * self.bins
+            gp, hp = np.repeat(g[part], len(taken)), np.repeat(h[part], len(taken))
+            at_part, node = np.zeros(len(part), int), np.zeros(n, int)
             feature, cut = [], []
             for level in range(self.depth):
                 nodes = 1 << level
-                at = (node[:, None] * width * self.bins + offsets + binned).ravel()
-                size = nodes * width * self.bins
-                gs = np.bincount(at, np.repeat(g, width), size).reshape(nodes, width, self.bins).cumsum(2)
-                hs = np.bincount(at, np.repeat(h, width), size).reshape(nodes, width, self.bins).cumsum(2)
+                at = ((at_part * len(taken) * self.bins)[:, None] + offsets + inside).ravel()
+                size = nodes * len(taken) * self.bins
+                gs = np.bincount(at, gp, size).reshape(nodes, len(taken), self.bins).cumsum(2)
+                hs = np.bincount(at, hp, size).reshape(nodes, len(taken), self.bins).cumsum(2)
                 gt, ht = gs[:, :, -1:], hs[:, :, -1:]
                 s = self.smoothing
                 gain = gs**2 / (hs + s) + (gt - gs) ** 2 / (ht - hs + s) - gt**2 / (ht + s)
                 best = gain.reshape(nodes, -1).argmax(1)
-                f, b = best // self.bins, best % self.bins
+                f, b = taken[best // self.bins], best % self.bins
                 feature.append(f)
                 cut.append(np.array([edges[j][k] if k < len(edges[j]) else np.inf for j, k in zip(f, b, strict=True)]))
                 node = 2 * node + (binned[np.arange(n), f[node]] > b[node])
+                at_part = node[part]
             leaves = 1 << self.depth
             value = self.rate * np.bincount(node, g, leaves) / (np.bincount(node, h, leaves) + self.smoothing)
             self.trees.append((feature, cut, value))
@@ -77,6 +83,16 @@ class BoostedTrees:
         return float(steps[best[len(best) // 2]])
 
 
+def _edges(x: np.ndarray, bins: int) -> np.ndarray:
+    """Borders of at most so many bins: some at quantiles of the rows, some at quantiles of the values, so that values which
+    few rows have are told apart too."""
+    values = np.unique(x)
+    if len(values) <= bins:
+        return values[1:]
+    some = np.quantile(x, np.linspace(0, 1, bins // 2 + 1)[1:-1], method="higher")
+    return np.unique(np.concatenate([some, np.quantile(values, np.linspace(0, 1, bins // 2 + 1)[1:], method="higher")]))[: bins - 1]
+
+
 def _isotonic(margin: np.ndarray, y: np.ndarray) -> list[tuple[float, float]]:
     """Points of the nondecreasing step function nearest to the labels, for interpolation."""
     if not len(y):

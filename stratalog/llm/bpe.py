@@ -39,12 +39,18 @@ class Vocabulary:
         self.lookahead = max(map(len, ranks))
         self.endings = {b[i:] for b in ranks for i in range(len(b))}
         self._fits: dict[tuple[int, int], bool] = {}
+        self._reachable: dict[int, bool] = {}
         self._pieces: dict[str, tuple[int, ...]] = {}
 
+    @classmethod
+    def of(cls, data: bytes) -> Vocabulary:
+        """From the content of a file of ranks."""
+        return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())})
+
     @classmethod
     def load(cls, path: str) -> Vocabulary:
         with open(path, "rb") as f:
-            return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+            return cls.of(f.read())
 
     def merged(self, data: bytes) -> list[bytes]:
         """The encoding by its definition: again and again join the neighbours of lowest rank, the leftmost first."""
@@ -67,6 +73,13 @@ class Vocabulary:
             self._fits[left, right] = known
         return known
 
+    def reachable(self, token: int) -> bool:
+        """Whether the token is the encoding of its own bytes; a vocabulary may hold some that no merge leads to."""
+        known = self._reachable.get(token)
+        if known is None:
+            known = self._reachable[token] = self.merged(self.tokens[token]) == [self.tokens[token]]
+        return known
+
     def piece(self, text: str) -> tuple[int, ...]:
         """Tokens of one piece of the pattern."""
         ids = self._pieces.get(text)
@@ -116,7 +129,8 @@ class Transducer:
                 token = v.ranks.get(part, -1)
                 if token >= 0:
                     left = last[start] if start else self._before
-                    if left < 0 or v.fits(left, token):
+                    # only the first token of a piece has none before it; it must be the encoding of its own bytes
+                    if v.fits(left, token) if left >= 0 else not start and v.reachable(token):
                         found = token
             last.append(found)
 
@@ -219,10 +233,29 @@ def _compiled(pattern: str):
     return regex.compile(pattern)
 
 
+#: The greatest vocabulary file, in bytes, that is sent to the workers.
+MOST_BYTES = 64 << 20
+
+
+def vocabulary_file(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> bytes:
+    """The content of a vocabulary file of this machine; one beyond MOST_BYTES is refused."""
+    path = os.path.join(folder, f"{name}.tiktoken")
+    if os.path.getsize(path) > MOST_BYTES:
+        raise ValueError(f"{path} is too large for a vocabulary")
+    with open(path, "rb") as f:
+        return f.read()
+
+
 @lru_cache(4)
 def vocabulary(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> Vocabulary:
     """A vocabulary file, loaded once per process."""
-    return Vocabulary.load(os.path.join(folder, f"{name}.tiktoken"))
+    return Vocabulary.of(vocabulary_file(name, folder))
+
+
+@lru_cache(4)
+def vocabulary_of(data: bytes) -> Vocabulary:
+    """A vocabulary from the content of its file, made once per process."""
+    return Vocabulary.of(data)
 
 
 def encode(text: str | None, v: Vocabulary) -> list[int]:

@@ -3,18 +3,32 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 
-from stratalog.llm.bpe import TOKENIZERS, StreamDecoder, encode, vocabulary
+from stratalog.llm.bpe import TOKENIZERS, StreamDecoder, encode, vocabulary_file, vocabulary_of
 from stratalog.runtime import in_arrow, spread
 
 #: Texts of a batch whose ids are held at a time.
 ROWS = 256
 
 
+_SENT: dict[tuple[str, str, str], Broadcast] = {}
+
+
+def _sent(spark: SparkSession, name: str, folder: str) -> Broadcast:
+    """The driver's vocabulary file, whose size is bounded, sent to the workers once per application."""
+    key = (spark.sparkContext.applicationId, name, folder)
+    if key not in _SENT:
+        _SENT[key] = spark.sparkContext.broadcast(vocabulary_file(name, folder))
+    return _SENT[key]
+
+
 def _with_ids(df: DataFrame, id: str, text: str, name: str, folder: str, make, kind: str) -> DataFrame:
+    sent = _sent(df.sparkSession, name, folder)
+
     def run(batches):
-        v = vocabulary(name, folder)
+        v = vocabulary_of(sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)

@@ -51,7 +51,8 @@ def pack(items: DataFrame, id: str, size: str, capacity: int, most_open: int = O
 
     An item over capacity is cut into full pieces, each a container of its own, and a rest that is packed like any
     item; ``piece`` counts from 0. An item of size 0 or null needs no place and gives no row; negative sizes are
-    taken as 0. Repeated ids are items of their own; ids may be null. Other columns are ignored.
+    taken as 0. Repeated ids are items of their own; ids may be null. Other columns are ignored. Which container an item gets
+    depends on how the items are partitioned, for a small input so on the number of cores; what fits where does not.
     """
     spark = items.sparkSession
     id_type = dict(items.dtypes)[id]

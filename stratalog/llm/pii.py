@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -10,14 +12,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from stratalog.llm.boosting import BoostedTrees
-from stratalog.llm.pii_candidates import KINDS, Candidate, Lexicon, candidates
-from stratalog.llm.pii_training import Writer
+from stratalog.llm.bpe import TOKENIZERS, Vocabulary
+from stratalog.llm.pii_candidates import KINDS, MODELS, candidates
+from stratalog.llm.pii_text import Batch, Lexicon
+from stratalog.llm.pii_training import Writer, usual_words
 from stratalog.runtime import in_arrow, spread
 
 #: Texts that the models are trained on, and texts that set the thresholds. Both are written, not taken from the data.
-TRAINING_TEXTS, THRESHOLD_TEXTS = 8_000, 2_500
-#: Texts whose candidates are scored together.
-ROWS = 512
+TRAINING_TEXTS, THRESHOLD_TEXTS = 9_000, 3_000
+#: Texts that are looked at together, and characters beyond which a batch is closed; a longer text is a batch of its own.
+ROWS, CHARACTERS = 2_048, 1_000_000
+#: Public vocabularies that tell how usual a word is.
+VOCABULARIES = ("byte_bpe_50k", "byte_bpe_multi_50k")
 
 
 @dataclass
@@ -29,46 +35,50 @@ class Detector:
     thresholds: dict[str, float]
 
     @classmethod
-    def train(cls, given: list[str | None], brands: list[str | None], texts: int = TRAINING_TEXTS, seed: int = 7) -> Detector:
-        """Fit on written texts. ``given`` and ``brands`` are small fixed lists."""
-        lexicon, models, thresholds = Lexicon(given, brands), {}, {}
-        fit, pick = _labelled(Writer(seed, given, brands), texts, lexicon), _labelled(Writer(seed + 1, given, brands), THRESHOLD_TEXTS, lexicon)
-        for kind in KINDS:
-            x, y = fit[kind]
-            models[kind] = BoostedTrees().fit(x, y)
+    def train(cls, given: list[str | None], brands: list[str | None], texts: int = TRAINING_TEXTS, seed: int = 7, folder: str = TOKENIZERS) -> Detector:
+        """Fit on written texts. ``given`` and ``brands`` are small fixed lists, and may be empty."""
+        ranks = [Vocabulary.load(os.path.join(folder, f"{v}.tiktoken")).ranks for v in VOCABULARIES]
+        lexicon, words, models, thresholds = Lexicon(given, brands, [_words_only(r) for r in ranks]), usual_words(ranks), {}, {}
+        lexicon.learn(True)
+        fit, pick = _labelled(Writer(seed, given, brands, *words), texts, lexicon), _labelled(Writer(seed + 1, given, brands, *words), THRESHOLD_TEXTS, lexicon)
+        for kind in MODELS:
+            models[kind] = BoostedTrees().fit(*fit[kind])
             thresholds[kind] = models[kind].threshold(*pick[kind])
+        lexicon.learn(False)
         return cls(lexicon, models, thresholds)
 
     def mentions(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
         """(kind, start, end) of the mentions of each text, by start; they do not overlap."""
-        found = [candidates(t, self.lexicon) if t else [] for t in texts]
-        scores = {}
-        for kind in KINDS:
-            rows = [c.features for one in found for c in one if c.kind == kind]
-            scores[kind] = iter(self.models[kind].probability(np.array(rows, float)) if rows else [])
-        # the candidates of a kind come in the order in which they were scored
-        return [self._selected([(next(scores[c.kind]), c) for c in one]) for one in found]
-
-    def _selected(self, scored: list[tuple[float, Candidate]]) -> list[tuple[str, int, int]]:
-        """Accepted candidates that lie in no other of their kind, the most probable first, of equals the longer one,
-        then the earlier one."""
-        good = sorted(((p, c) for p, c in scored if p >= self.thresholds[c.kind]), key=lambda x: (x[1].start, x[1].end))
-        taken: list[tuple[str, int, int]] = []
+        out: list[list[tuple[str, int, int]]] = []
+        for part in _batches(texts):
+            out += self._mentions(part)
+        return out
+
+    def _mentions(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
+        batch, good = Batch(texts, self.lexicon), []
+        for model, found in candidates(batch).items():
+            if len(found.start):
+                p = self.models[model].probability(found.features)
+                kind = "name" if model == "east" else model
+                good += [(int(found.start[i]), int(found.end[i]), kind, round(float(p[i]), 2)) for i in np.flatnonzero(p >= self.thresholds[model])]
+        out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+        good.sort()
         at = 0
         while at < len(good):  # one stretch of overlapping candidates after the other
-            to, end = at + 1, good[at][1].end
-            while to < len(good) and good[to][1].start < end:
-                end = max(end, good[to][1].end)
+            to, end = at + 1, good[at][1]
+            while to < len(good) and good[to][0] < end:
+                end = max(end, good[to][1])
                 to += 1
-            stretch = good[at:to]
-            whole = [(p, c) for p, c in stretch if not any(d.kind == c.kind and d.start <= c.start and c.end <= d.end and (d.start, d.end) != (c.start, c.end) for _, d in stretch)]
-            here: list[tuple[str, int, int]] = []
-            for _, c in sorted(whole, key=lambda x: (-round(x[0], 2), x[1].start - x[1].end, x[1].start, x[1].kind)):
-                if all(c.end <= a or b <= c.start for _, a, b in here):
-                    here.append((c.kind, c.start, c.end))
-            taken += sorted(here, key=lambda m: m[1])
+            here: list[tuple[int, int]] = []
+            # the most probable first, of equals the longer one, then the earlier one
+            for a, b, kind, _ in sorted(good[at:to], key=lambda c: (-c[3], c[0] - c[1], c[0], c[2])):
+                if all(b <= x or y <= a for x, y in here):
+                    here.append((a, b))
+                    text = int(np.searchsorted(batch.begins, a, side="right")) - 1
+                    first = int(batch.begins[text])
+                    out[text].append((kind, a - first, b - first))
             at = to
-        return taken
+        return [sorted(m, key=lambda x: x[1]) for m in out]
 
     def redacted(self, text: str | None, mentions: list[tuple[str, int, int]]) -> str | None:
         if text is None:
@@ -80,21 +90,46 @@ class Detector:
         return "".join([*out, text[at:]])
 
 
+def _words_only(ranks: dict[bytes, int]) -> dict[bytes, int]:
+    """The tokens that are looked up: those that begin with a space, and those beyond ASCII."""
+    return {t: i for t, i in ranks.items() if t[:1] == b" " or t[:1] >= b"\xe3"}
+
+
+def _batches(texts: list[str | None]) -> Iterator[list[str | None]]:
+    held, size = [], 0
+    for t in texts:
+        if held and (len(held) >= ROWS or size + len(t or "") > CHARACTERS):
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t or "")
+    if held:
+        yield held
+
+
 @lru_cache(4)
-def trained(given: tuple[str, ...], brands: tuple[str, ...]) -> Detector:
+def trained(given: tuple[str, ...], brands: tuple[str, ...], folder: str = TOKENIZERS) -> Detector:
     """A detector for these lists, trained once per process."""
-    return Detector.train(list(given), list(brands))
+    return Detector.train(list(given), list(brands), folder=folder)
 
 
 def _labelled(writer: Writer, texts: int, lexicon: Lexicon) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    rows: dict[str, list] = {k: [] for k in KINDS}
-    labels: dict[str, list] = {k: [] for k in KINDS}
-    for _ in range(texts):
-        text, truth = writer.text()
-        for c in candidates(text, lexicon):
-            rows[c.kind].append(c.features)
-            labels[c.kind].append(float((c.kind, c.start) in truth))
-    return {k: (np.array(rows[k], float), np.array(labels[k])) for k in KINDS}
+    """Features and labels of the candidates of written texts. E-mail and postal addresses are told by where they begin, as
+    what follows, such as a town, may or may not belong to them."""
+    rows: dict[str, list] = {k: [] for k in MODELS}
+    labels: dict[str, list] = {k: [] for k in MODELS}
+    written = [writer.text() for _ in range(texts)]
+    for at in range(0, texts, ROWS):
+        part = written[at : at + ROWS]
+        batch = Batch([t for t, _ in part], lexicon)
+        truth = {(k, a + int(batch.begins[i]), b + int(batch.begins[i])) for i, (_, m) in enumerate(part) for k, a, b in m}
+        begins = {(k, a) for k, a, _ in truth}
+        for model, found in candidates(batch).items():
+            kind = "name" if model == "east" else model
+            loose = kind in ("email", "address")
+            rows[model].append(found.features)
+            labels[model] += [float((kind, a) in begins if loose else (kind, a, b) in truth) for a, b in zip(found.start.tolist(), found.end.tolist(), strict=True)]
+    return {k: (np.vstack(rows[k]), np.array(labels[k])) for k in MODELS}
 
 
 def find(df: DataFrame, detector: Detector, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -130,3 +165,6 @@ def _found(batches, detector: Detector):
             part = batch.slice(at, ROWS)
             texts = part.column(1).to_pylist()
             yield part.column(0), texts, detector.mentions(texts)
+
+
+__all__ = ["KINDS", "Detector", "find", "redact", "trained"]

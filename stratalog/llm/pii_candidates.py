@@ -1,342 +1,412 @@
-"""Spans of a text that may be personal information, and the features that tell."""
+"""Spans of a batch of texts that may be personal information, and the features that tell.
+
+The generators aim at recall: whatever has the shape of a mention, or stands where one would, is proposed, spans overlap, and
+none is left out for being unlike known names or numbers. Names of scripts with capitals are proposed by shape and context,
+names of kanji and kana by theirs.
+"""
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import Counter
 from typing import NamedTuple
 
+import numpy as np
 import regex
 
+from stratalog.llm.pii_text import DIGIT, EAST, FAR, KINDS_OF_CUES, LETTER, SEPARATOR, Batch, Lexicon
+
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: Characters of context looked at on either side.
-CONTEXT = 70
-
-#: Full-width forms, dashes and spaces, replaced one for one so that offsets stay.
-FOLD = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | dict.fromkeys([0x3000, 0xA0, 0x2007, 0x2009, 0x202F], 32) | dict.fromkeys([0x2010, 0x2011, 0x2012, 0x2013, 0x2212], 45)
-
-LETTER = r"A-Za-zÀ-ɏ̀-ͯ"
-#: Words around a number that say what it is.
-CUES = {
-    "id": r"passport|insurance|social sec|\bssn\b|\bid\b|\bi\.d\.|tax (?:id|number|no)|licen[cs]e|national (?:id|number)|on the label|\bdni\b|\bnie\b|\bnif\b|pasaporte|identidad|seguridad social|etiqueta|passeport|sécurité sociale|identité|étiquette|ausweis|reisepass|steuer|versicherungsnummer|etikett|パスポート|旅券|免許|マイナンバー|保険証|ラベル",
-    "goods": r"\border(?! me)\b|invoice|\bparts?\b|\bitem|serial|barcode|\bref\b|\bsku\b|model|tracking|bestell|rechnung|artikel|seriennummer|strichcode|commande|facture|\barticle|série|code-barres|pedido|factura|artículo|serie|código|référence|注文|型番|シリアル|バーコード|請求書",
-    "phone": r"\bcall|phone|\btel\b|\bring\b|mobile|\breach|\bfax|text me|teléfono|llám|avis|móvil|appel|téléphone|portable|rückruf|erreichbar|anruf|telefon|handy|電話|連絡|reply|contact|ask for|finds the old",
-    "place": r"live[sd]? at|left it at|\baddress|delivered|refund to|parcel with|moved to|since|dirección|se quedó en|devolver|\bvive|adresse|resté au|renvoyer|habite|anschrift|adresse|rücksendung|wohn|lag bei|返品先|住所",
-    "person": r"regards|signed|thanks|thank you|spoke to|ask for|\bi,|wife|husband|brother|sister|the one of|refund to|under|daughter|son\b|saludo|firmado|hablé|avisen|devolver|gracias|cordialement|signé|parlé|rappelez|chez|merci|grüße|gez\.|telefoniert|habe mit|lag bei|rücksendung an|様|さん|from the shop|vom kundendienst|du magasin|de la tienda|customer service|very kind",
-}
-_CUES = {k: regex.compile(v) for k, v in CUES.items()}
-_BREAK = regex.compile(r"(?<=\w{2})[!?]\s|(?<=[\w)>]{4})\.\s|[。！？\n\r]|<br>|\s{2,}")
-
-_AT = r"(?:@| @ |\s?\((?:at|AT)\)\s?|\s?\[(?:at|AT)\]\s?|\s?\{(?:at|AT)\}\s?)"
-_DOT = r"(?:\.| \. |\s?\((?:dot|DOT)\)\s?|\s?\[(?:dot|DOT)\]\s?|\s?\{(?:dot|DOT)\}\s?)"
-_LABEL = r"[A-Za-z0-9À-ɏ](?:[A-Za-z0-9À-ɏ-]*[A-Za-z0-9À-ɏ])?"
-_LOCAL = rf"[{LETTER}0-9_%+][{LETTER}0-9_%+'-]*+"
+#: What is scored by trees of its own; names in kanji and kana are judged apart from the others.
+MODELS = (*KINDS, "east")
+
+_L = r"A-Za-zªµºÀ-ʯ̀-ͯͰ-ԯḀ-ỿ"
+_AT = r"(?:@| @ |\s?\((?i:at)\)\s?|\s?\[(?i:at)\]\s?|\s?\{(?i:at)\}\s?)"
+_DOT = r"(?:\.| \. |\s?\((?i:dot)\)\s?|\s?\[(?i:dot)\]\s?|\s?\{(?i:dot)\}\s?)"
+#: Letters of an e-mail address; kana and kanji stand beside it.
+_M = r"A-Za-z0-9À-ɏͰ-ԯ"
+_LABEL = rf"[{_M}](?:[{_M}-]*[{_M}])?"
+_LOCAL = rf"[{_M}_%+][{_M}̀-ͯ_%+'-]*+"
 _EMAILS = [
     regex.compile(rf"{_LOCAL}(?:{_DOT}{_LOCAL})*+{_AT}{_LABEL}(?:{_DOT}{_LABEL})+"),
     regex.compile(rf"(?i){_LOCAL}(?:(?:\.| dot ){_LOCAL})*+ at {_LABEL}(?: dot {_LABEL})+"),
 ]
-_MARKERS = [regex.compile(r"(?i)@|[(\[{]at[)\]}]"), regex.compile(r"(?i) at \S+ dot ")]
+_SPELLED = regex.compile(r" at \S+ dot ")
 #: Characters before and after the sign within which an address is looked for; standards allow no longer ones.
 _REACH = 330
-_DIGITS = ("zero|oh|one|two|three|four|five|six|seven|eight|nine|null|eins|zwei|zwo|drei|vier|fünf|sechs|sieben|acht|neun|zéro|un|deux|trois|quatre|cinq|sept|huit|neuf|cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve")
-_GROUP = r"(?:\(\d{1,5}\)|\d++)"
-#: No letter or digit of a script that separates words; kana and kanji may stand directly beside a mention.
+
+#: No letter or digit of a script that sets words apart.
 _W = r"[A-Za-z0-9_À-ɏ]"
-_NUMBERS = [
-    regex.compile(rf"(?<![A-Za-z0-9_À-ɏ#+.,/-])\+?{_GROUP}(?:(?:[ ./-]|(?<=\))|(?=\()|\) ){_GROUP})*+(?!{_W})"),
-    regex.compile(rf"(?i)(?<!{_W})(?:(?:double |triple )?(?:{_DIGITS})[ ,-]+){{5,}}(?:{_DIGITS})(?!{_W})"),
-    regex.compile(r"[〇零一二三四五六七八九]{7,}"),
-    regex.compile(rf"(?i)(?<![A-Za-z0-9_À-ɏ#-])[A-Z]{{2}} ?\d{{2}} ?\d{{2}} ?\d{{2}} ?[A-D](?!{_W})"),
-    regex.compile(rf"(?i)(?<![A-Za-z0-9_À-ɏ#-])[A-Z]{{1,3}}[ -]?\d{{6,10}}(?:[ -]?[A-Z])?(?!{_W})"),
-    regex.compile(rf"(?i)(?<![A-Za-z0-9_À-ɏ#-])[A-Z]\d{{1,2}}[A-Z]{{1,2}} ?[A-Z]?\d{{4}} ?\d(?!{_W})"),
-    regex.compile(rf"(?i)(?<![A-Za-z0-9_À-ɏ#-])(?:\d{{2}}\.?\d{{3}}\.?\d{{3}}|[XYZ][- ]?\d{{7}})[- ]?[A-Z](?!{_W})"),
+_GROUP = r"(?:\(\d{1,5}\)|\d++)"
+_DIGITS = regex.compile(rf"(?<![A-Za-z0-9_À-ɏ#.,/-])\+?{_GROUP}(?:(?:[ ./-]|(?<=\))|(?=\()|\) | ?[/-] ?){_GROUP})*+(?:,? ?(?i:ext\.?|x|extension|poste|dw\.?) ?\d{{1,6}})?")
+#: Shapes of numbers that mix letters and digits, as authorities of several countries issue them.
+_MIXED = [
+    regex.compile(rf"(?i)(?<!{_W}|[#-])[A-Z]{{2}} ?\d{{2}} ?\d{{2}} ?\d{{2}} ?[A-Z](?!{_W})"),
+    regex.compile(rf"(?i)(?<!{_W}|[#-])[A-Z]{{1,3}}[ -]?\d{{5,12}}(?:[ -]?[A-Z])?(?!{_W})"),
+    regex.compile(rf"(?i)(?<!{_W}|[#-])(?:\d{{1,3}}[. ]?\d{{3}}[. ]?\d{{3}}|[XYZ][- ]?\d{{7}}|\d{{5,12}})[- ]?[A-Z](?!{_W})"),
+    regex.compile(rf"(?i)(?<!{_W}|[#-])(?=[A-Z0-9]*[A-Z])(?=(?:[A-Z]*\d){{3}})[A-Z0-9]{{5,20}}(?: (?=[A-Z]*\d)[A-Z0-9]{{1,6}}){{0,2}}(?!{_W})"),
+    regex.compile(rf"(?i)(?<!{_W}|[#-])(?=[A-Z]{{0,3}}\d|\d+ )(?:\d+|[A-Z0-9]{{1,4}})(?:[ -](?=[A-Z]{{0,2}}\d|[A-Z]{{1,2}}(?!{_W}))[A-Z0-9]{{1,7}}){{1,4}}(?!{_W})"),
+    regex.compile(rf"(?i)(?<!{_W}|[#-])[A-Z]{{6}}\d\d[A-Z]\d\d[A-Z]\d{{3}}[A-Z](?!{_W})"),
 ]
-_NAME_WORD = rf"[{LETTER}][{LETTER}'’-]{{0,40}}"
-_WORDS = regex.compile(rf"[{LETTER}][{LETTER}'’-]*")
-#: Words that lie at most so many before one that tells of a name may begin it: given, initials, two words of a particle, family.
-_BEFORE = 5
-_DIGIT_RUN = regex.compile(r"(?:\d\D{0,3}){6}")
-_GERMAN = ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "ring", "damm", "ufer")
-_SPANISH = ("calle", "c/", "avda", "av.", "avenida", "plaza", "pza", "paseo", "camino", "ronda", "travesía", "carretera")
-_FRENCH = ("rue", "avenue", "av.", "bd", "boulevard", "chemin", "place", "quai", "impasse", "allée", "cours", "route", "square")
-_ENGLISH = ("st", "r", "lane", "ln", "ave", "dr", "close", "way", "place", "boul", "blvd", "mews", "hill", "gardens", "court", "square")
-_STREETS = (_ENGLISH, _FRENCH, _SPANISH, _GERMAN)
-_STREET_EN = r"(?:Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Row|Avenue|Ave\.?|Drive|Dr\.?|Close|Court|Way|Terrace|Square|Place|Boulevard|Blvd\.?|Crescent|Mews|Hill|Gardens)"
-_HOUSE = r"\d{1,4}(?:-\d{1,4})? ?(?:[a-f](?!{_W}))?"
-_FLAT = r"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite) \d{1,4}[a-z]?, )?"
+_HAS_LETTER = regex.compile(r"(?i)(?<![A-Z])[A-Z]{1,3}[ -]?\d|\d[ -]?[A-Z](?![A-Z])|(?<![A-Z])[A-Z]{6}\d")
+_KANJI_DIGITS = regex.compile(r"[〇零一二三四五六七八九]{5,}")
+#: Least digits of a number; there is no greatest.
+_LEAST = 5
+
+_NW = rf"[{_L}][{_L}'’-]*"
+_HOUSE = rf"\d{{1,6}}(?:[-/]\d{{1,6}})?(?: ?[a-zA-Z](?!{_W}))?"
+_FLAT = r"(?:(?:flat|apt\.?|apartment|unit|suite|room) \w{1,6},? )?"
+_AFTER_WORDS = r"(?:street|st\.?|road|rd\.?|lane|ln\.?|row|avenue|ave\.?|drive|dr\.?|close|court|ct\.?|way|terrace|square|sq\.?|place|pl\.?|boulevard|blvd\.?|crescent|mews|hill|gardens|parade|grove|walk|path|park|circle|quay|green|highway|hwy\.?|alley|trail|view|rise|loop|wharf|embankment)"
+_BEFORE_WORDS = r"(?:rue|avenue|av\.|ave\.|boulevard|bd\.?|chemin|place|quai|impasse|allée|cours|route|square|passage|sentier|faubourg|esplanade)"
+_SOUTH_WORDS = r"(?:calle|c/|avda\.?|avenida|av\.|plaza|pza\.?|paseo|pº|camino|ronda|travesía|carretera|pasaje|glorieta|carrer|rua|praça|via|viale|piazza|corso|largo|vicolo)"
+_GERMAN_ENDS = r"(?:straße|strasse|str\.|str|weg|gasse|platz|allee|ring|damm|ufer|chaussee|steig|stieg|graben|markt|straat|laan|plein|gatan|vägen)"
 _ADDRESSES = [
-    regex.compile(rf"(?i)(?<![A-Za-z0-9_À-ɏ.,/€$£-]){_FLAT}{_HOUSE},? ?{_NAME_WORD}(?: {_NAME_WORD})? {_STREET_EN}(?!{_W}|')"),
-    regex.compile(rf"(?i)(?<![A-Za-z0-9_À-ɏ.,/-])\d{{1,4}}(?: ?(?:bis|ter|quater|[a-f]))?,? (?:rue|avenue|av\.|bd|boulevard|chemin|place|quai|impasse|allée|cours|route|square)(?: (?:de la|de l['’]|des|du|de))? ?{_NAME_WORD}"),
-    regex.compile(rf"(?i)(?<![A-Za-z0-9_À-ɏ/])(?:calle|c/|avda\.|avenida|av\.|plaza|pza\.|paseo|camino|ronda|travesía|carretera)(?: (?:de la|de los|de las|del|de))? ?{_NAME_WORD}(?: {_NAME_WORD})?,? (?:n\.?º ?)?\d{{1,4}}(?!{_W}{{2}})"),
-    regex.compile(rf"(?i)(?<!{_W})(?:(?:am|an der|im|zum|zur|auf dem|unter den) )?[{LETTER}'-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer)\.? \d{{1,4}} ?(?:[a-z](?!{_W}))?"),
+    regex.compile(rf"(?i)(?<!{_W}|[.,/€$£-]){_FLAT}{_HOUSE},? (?:{_NW} ){{1,4}}?{_AFTER_WORDS}(?!{_W}|')"),
+    regex.compile(rf"(?i)(?<!{_W}|[.,/-])\d{{1,6}}(?: ?(?:bis|ter|quater|[a-f])(?!{_W}))?,? {_BEFORE_WORDS}(?: (?:de la|de l['’]|des|du|de|aux?|à la))? ?{_NW}(?:[ -](?:de |du |des |la )?\p{{Lu}}{_NW})*"),
+    regex.compile(rf"(?i)(?<!{_W}|/){_SOUTH_WORDS}(?: (?:de la|de los|de las|del|de|della|delle|dei|da|do))? ?(?:{_NW})(?: {_NW}){{0,4}}?,? ?(?:n\.?º ?|núm\. ?|nº ?)?{_HOUSE}(?!{_W})"),
+    regex.compile(rf"(?i)(?<!{_W})(?:(?:am|an der|im|zum|zur|auf dem|auf der|unter den) )?(?:(?:alte|neue|große|kleine|obere|untere|lange|kurze|hohe|breite)[nr]? )?(?:[{_L}'-]+{_GERMAN_ENDS}|(?:{_NW} ){{1,2}}(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer))\.?,? {_HOUSE}(?!{_W})"),
+    regex.compile(r"(?:東京都|北海道|大阪府|京都府|[一-龥]{2,3}県)?(?:[一-龥ヶ]{1,6}[市区町村郡])+[一-龥ァ-ヶーのノ]{0,10}[0-9一二三四五六七八九十]+(?:丁目|番地?|号|の|[0-9-])*"),
 ]
-#: Words that stand before a family name and belong to it.
-_PARTICLES = r"(?:von der|van der|van den|de la|de los|von|van|zu|de|del|della|di|da|dos|du|le|la|ter|ten)"
-_LAST_WORD = regex.compile(rf"[{LETTER}][{LETTER}'’-]*$")
-_PARTICLE_WORDS = frozenset("von van der den zu de la los del della di da dos du le ter ten".split())
-#: Characters between a word that tells of a person and a name beside it.
-_BESIDE = 12
-#: Frequent ends of invented and of Germanic family names.
-FAMILY_ENDS = ("wick", "lund", "berg", "mere", "court", "sey", "stad", "holm", "vane", "tarn", "son", "sen", "mann", "vist", "ez", "ský")
-#: Words that stand where a family or given name could, but are none.
-_NOT_NAMES = frozenset(
-    "regards signed thanks thank saludo cordialement grüße hello dear gracias merci danke rappelez appelez avisen hablé brother-in-law sister-in-law street road lane row avenue drive close flat apt the this that these it i we my our you he she they and but or so no yes not "
-    "monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december "
-    "after before even first worst best honestly survived support size colour order invoice part item serial barcode straight bought used set worth ordered delivered since whoever please call ring contact copy send loves love likes "
-    "der die das und aber nach auf für mit ist nicht sehr mag es une un le la les des pour avec très l'adore adora ama el los las con por para muy una le encanta dans sur en et y o ou oder".split()
-)
-_NAMES = [
-    # given, perhaps an initial, perhaps particles, family
-    ("gf", regex.compile(rf"(?P<g>{_NAME_WORD}) (?P<m>(?:\p{{Lu}}\.\s?){{1,2}})?(?P<p>(?i:{_PARTICLES}) )?(?P<f>{_NAME_WORD})")),
-    ("if", regex.compile(rf"(?<![A-Za-z0-9_À-ɏ.'-])(?P<g>[A-Za-zÀ-ɏ]\.)(?: ?[A-Z]\.)? ?(?P<p>(?i:{_PARTICLES}) )?(?P<f>{_NAME_WORD})")),
-    ("fg", regex.compile(rf"(?P<p>(?i:{_PARTICLES}) )?(?P<f>{_NAME_WORD}), ?(?P<g>{_NAME_WORD})(?P<m> \p{{Lu}}\.)?")),
-    ("fi", regex.compile(rf"(?P<p>(?i:{_PARTICLES}) )?(?P<f>{_NAME_WORD}), ?(?P<g>[A-Za-zÀ-ɏ]\.)")),
+_PREPOSED = regex.compile(rf"(?i)(?:am|im|zum|zur|(?:an|auf) der|unter den) {_NW} {_HOUSE}(?!{_W})")
+_ENGLISH_HEAD = regex.compile(r"(?:(?:flat|apt\.?|apartment|unit|suite|room) \w+,? |(?<!\w)(?:am|an der|im|zum|zur|auf dem|unter den) |\d[ -])$")
+_UNITS = regex.compile(r"\s?(?:cm|mm|km|m\b|kg|g\b|ml|l\b|eur\b|euros?\b|€|\$|£|%|x ?\d|°|v\b|w\b|days?|weeks?|months?|years?|hours?|minutes?|times?|stars?|tage|wochen|monate|jahre|stunden|minuten|mal|sterne|jours?|semaines?|mois|ans|heures?|fois|étoiles|días?|semanas?|meses|años|horas?|veces|estrellas|日|回|円|個|年|月)")
+_MONEY = regex.compile(r"[€$£¥]\s?$|\b(?:eur|usd|gbp)\s?$")
+_DATE = regex.compile(r"(?:\d{4}[-./ ]\d{1,2}[-./ ]\d{1,2}|\d{1,2}[-./ ]\d{1,2}[-./ ](?:\d{4}|\d{2}))$")
+_GROUPS, _LETTERS = regex.compile(r"\d+"), regex.compile(r"[A-Za-z]+")
+
+#: Frequent Japanese family names, a feature of names in kanji, not a condition.
+FAMILY_KANJI = frozenset("佐藤 鈴木 高橋 田中 伊藤 渡辺 山本 中村 小林 加藤 吉田 山田 佐々木 山口 松本 井上 木村 林 斎藤 清水 山崎 森 池田 橋本 阿部 石川 山下 中島 石井 小川 前田 岡田 長谷川 藤田 後藤 近藤 村上 遠藤 青木 坂本 斉藤 福田 太田 西村 藤井 金子 岡本 藤原 三浦 中野 原田 松田 竹内 上田 中川 小野 和田 石田 森田 原".split())
+_KANJI = "一-龥々ヶ"
+_EAST_NAMES = [
+    regex.compile(rf"(?<![{_KANJI}])[{_KANJI}]{{1,4}}[ ・](?:[{_KANJI}]{{1,3}}(?![{_KANJI}])|[ぁ-ん]{{2,4}}(?=さん|様|氏|$|[\n。、,{SEPARATOR}])|[ァ-ヶー]{{2,6}})"),
+    regex.compile(rf"[{_KANJI}]{{2,}}[ぁ-んァ-ヶー]{{0,4}}(?=さん|様|さま|氏|くん|君|ちゃん|先生|殿|と申|という|です|と名乗|[（(<])"),
+    regex.compile(rf"(?<=(?:担当|担当者|店員|配達員|技術者|友人|隣人|妻|夫|私|名前|氏名|宛名|宛先|受取人|差出人)[はの、:：]\s?)[{_KANJI}]{{2,}}[ぁ-ん]{{0,5}}"),
+    regex.compile(r"[ァ-ヶー]{2,}[・＝=][ァ-ヶー]{2,}"),
+    regex.compile(rf"(?<=^|[\n。、,「『（({SEPARATOR}])[{_KANJI}]{{3,6}}(?=$|[\n。、,」』）){SEPARATOR}])"),
 ]
+_HONORIFIC = regex.compile(r"さん|様|さま|氏|くん|君|ちゃん|先生|殿")
 
 
-class Candidate(NamedTuple):
-    kind: str
-    start: int
-    end: int
-    features: tuple
-
-
-class Lexicon:
-    """What is known of given names and brands. Given names are learned as beginnings and ends: a word counts as like a
-    given name if it is listed, or splits into a beginning and an end that each occur in several listed names."""
-
-    def __init__(self, given: list[str | None], brands: list[str | None], least: int = 3):
-        self.given = frozenset(g.lower() for g in given if g)
-        self.brands = frozenset(b.lower() for b in brands if b)
-        first, last = Counter(), Counter()
-        for g in self.given:
-            for i in range(3, len(g) - 1):
-                first[g[:i]] += 1
-                last[g[i:]] += 1
-        self._first = frozenset(x for x, n in first.items() if n >= least)
-        self._last = frozenset(x for x, n in last.items() if n >= least)
-        self._known: dict[str, tuple[bool, bool]] = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_known": {}}
-
-    def likeness(self, word: str) -> tuple[bool, bool]:
-        """Whether a word is like a given name, and like a family name; remembered."""
-        known = self._known.get(word)
-        if known is None:
-            if len(self._known) >= 200_000:
-                self._known.clear()
-            known = self._known[word] = (len(word) <= 41 and self.like_given(word), _like_family(word))
-        return known
-
-    def like_given(self, word: str) -> bool:
-        parts = word.lower().split("-")
-        return all(p in self.given or any(p[:i] in self._first and p[i:] in self._last for i in range(3, len(p) - 1)) for p in parts if p) and any(parts)
-
-
-def _case(word: str) -> int:
-    letters = [c for c in word if c.isalpha()]
-    if not letters:
-        return 0
-    return 3 if len(letters) > 1 and all(c.isupper() for c in letters) else 2 if letters[0].isupper() else 1
-
-
-def _context(folded: str, lower: str, start: int, end: int) -> list[float]:
-    left = lower[max(0, start - CONTEXT) : start]
-    breaks = [m.end() for m in _BREAK.finditer(left)]
-    left = left[breaks[-1] :] if breaks else left
-    right = lower[end : end + CONTEXT // 2]
-    if m := _BREAK.search(right):
-        right = right[: m.start()]
-    out: list[float] = []
-    for cue in _CUES.values():
-        places = [m.end() for m in cue.finditer(left)]
-        out.append(float(len(left) - places[-1]) if places else 99.0)
-        m = cue.search(right)
-        out.append(float(m.start()) if m else 99.0)
-    return out
-
-
-_UNITS = regex.compile(r"\s?(?:cm|mm|kg|eur\b|€|\$|£|%|x\d|°|days|weeks|hours|times|tage|wochen|jours|días)")
-_MONEY = regex.compile(r"[€$£]\s?$|\b(?:eur|usd|gbp)\s?$")
-_DIGIT_GROUPS, _LETTER_GROUPS, _TOP = regex.compile(r"\d+"), regex.compile(r"[A-Za-z]+"), regex.compile(r"[A-Za-z]{2,}$")
-_TOWN = regex.compile(r",? (?:\d{5} )?[A-Z]")
-#: What before an address shows that the address began earlier.
-_INNER = regex.compile(r"(?:(?:flat|apt\.?|apartment|unit|suite) \w+, |(?<![A-Za-z0-9_À-ɏ])(?:am|an der|im|zum|zur|auf dem|unter den) |\d[ -])$")
-_DATE = regex.compile(r"(?:\d{4}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./]\d{2,4})$")
+class Found(NamedTuple):
+    """Candidates of a kind: spans of the joined text and their features."""
 
+    start: np.ndarray
+    end: np.ndarray
+    features: np.ndarray
 
-def _number_features(folded: str, lower: str, start: int, end: int) -> tuple:
-    s = folded[start:end]
-    groups = _DIGIT_GROUPS.findall(s)
-    digits = "".join(groups)
-    letters = _LETTER_GROUPS.findall(s)
-    before = folded[max(0, start - 2) : start]
-    sizes = [len(g) for g in groups]
-    spelled = not digits
-    prefix = letters[0] if letters and not s[0].isdigit() else ""
-    return (
-        float(len(digits)), float(len(groups)), float(sizes[0] if sizes else 0), float(sizes[1] if len(sizes) > 1 else 0), float(sizes[-1] if sizes else 0),
-        float(sum(map(len, letters)) if not spelled else 0), float(len(prefix)), float(bool(letters) and s[-1].isalpha()), float(s[0] == "+"), float(s[0] == "("), float(digits[:1] == "0"), float(digits[:2] == "00"),
-        float(digits[:1] == "9"), float("." in s), float("-" in s), float("/" in s), float(" " in s), float("#" in before), float(spelled),
-        float(bool(_DATE.match(s))), float(bool(_MONEY.search(lower[max(0, start - 6) : start]))), float(bool(_UNITS.match(lower, end))),
-        float(prefix.upper() in ("ORD", "SN", "AB", "KX")), float("555" in digits), *_context(folded, lower, start, end),
-    )
 
-
-def _like_family(word: str) -> bool:
-    w = word.lower().replace("’", "'")
-    return any(w.endswith(e) and len(w) > len(e) + 1 for e in FAMILY_ENDS)
-
-
-def _name_features(form: int, m, folded: str, lower: str, lexicon: Lexicon, cues: _Cues) -> tuple | None:
-    """None for words that are not shaped like a name: neither capitalised nor beside a person cue, an initial or a particle,
-    nor like a known name. Likeness alone never rules a pair out."""
-    g, f = m["g"].strip(), m["f"]
-    start, end = m.span()
-    initial = form in (1, 3)
-    given = not initial and lexicon.likeness(g)[0]
-    family = lexicon.likeness(f)[1]
-    if len(f) < 2 or not (given or family or m["p"] or _case(f) >= 2 and (initial or _case(g) >= 2 or m["m"]) or cues.beside(start, end)):
-        return None
-    odd = any(c in f for c in "'’-") or any(ord(c) > 127 for c in f) or (f[:2] == "Mc" and len(f) > 3)
-    others = [c for c in folded[max(0, start - 25) : start] + folded[end : end + 25] if c.isalpha()]
-    plain_f, plain_g = f.lower() in _NOT_NAMES, g.lower() in _NOT_NAMES
-    whole = lower[start:end]
-    brand = any(b in whole or whole in b for b in lexicon.brands)
-    near = lower[max(0, start - 12) : end + 12]
-    return (
-        float(form), float(given), float(g.lower() in lexicon.given), float(family), float(odd), float(_case(g)), float(_case(f)), float(_case(g) == _case(f)),
-        float(bool(m["p"])), float(bool(m.groupdict().get("m"))), float(plain_f), float(plain_g), float(brand), float(any(b in near for b in lexicon.brands)), float(len(f)), float(lexicon.likeness(f)[0]),
-        float(sum(c.isupper() for c in others) / max(1, len(others))), float(lexicon.likeness(g)[1]), float(folded[end : end + 2] in ("さん", "様が")), float(folded[max(0, start - 1) : start] in ("@", "_", ".", "-")), float(folded[end : end + 1] in ("@", "_", ".")), float(any(c.isdigit() for c in folded[max(0, start - 2) : start])),
-        _edge(folded, start, -1), _edge(folded, end, 1), float(len(g)), *_context(folded, lower, start, end),
-    )
+def _spans(spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    a = np.array(spans, np.int64).reshape(-1, 2)
+    return a[:, 0], a[:, 1]
 
 
-def _edge(folded: str, at: int, step: int) -> float:
-    """What stands before (-1) or after (1) a span: the end of a sentence or of the text, a comma, another sign, a digit, a
-    word in small letters or a capitalised one."""
-    beside = folded[max(0, at - 42) : at].rstrip(" ") if step < 0 else folded[at : at + 42].lstrip(" ")
-    c = beside[-1:] if step < 0 else beside[:1]
-    if not c or c in ".!?。\n\r":
-        return 0.0
-    if not c.isalpha():
-        return 1.0 if c in ",;:" else 3.0 if c.isdigit() else 2.0
-    if step < 0 and (word := _LAST_WORD.search(beside)):
-        c = word[0][0]
-    return 5.0 if c.isupper() else 4.0
-
-
-def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
-    """All spans that may be a mention; they overlap. Offsets are code points of ``text``."""
-    folded = text.translate(FOLD)
-    lower = folded.lower()
-    if len(lower) != len(folded):  # a letter whose lower case is longer
-        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in folded)
-    out = _emails(folded)
-    taken = _Spans([(c.start, c.end) for c in out])
-    if _DIGIT_RUN.search(folded):
-        out += _numbers(_NUMBERS, folded, lower, taken)
-    else:
-        out += _numbers(_NUMBERS[1:3], folded, lower, taken)
-    for i, pattern in enumerate(_ADDRESSES):
-        if not any(x in lower for x in _STREETS[i]):
-            continue
-        for m in pattern.finditer(folded, overlapped=True):
-            words, number = _WORDS.findall(m[0]), _DIGIT_GROUPS.search(m[0])
-            features = (
-                float(i), float(sum(w[0].isupper() for w in words)), float(len(words)), float(int(number[0])), float("," in m[0]), float(any(w.lower() in _NOT_NAMES for w in words)),
-                float(bool(_INNER.search(lower[max(0, m.start() - 20) : m.start()]))), float(folded[m.end() : m.end() + 1] == ","), float(bool(_TOWN.match(folded, m.end()))), float(bool(_UNITS.match(lower, m.end()))), *_context(folded, lower, *m.span()),
-            )
-            out.append(Candidate("address", *m.span(), features))
-    cues = _Cues(lower)
-    for start in _name_starts(folded, lower, lexicon, cues):
-        if start and (folded[start - 1].isalnum() and not _east(folded[start - 1]) or folded[start - 1] in "'’_@+°" or (folded[start - 1] == "-" and start > 1 and folded[start - 2].isalnum())):
-            continue
-        for form, (_, pattern) in enumerate(_NAMES):
-            m = pattern.match(folded, start)
-            if not m:
-                continue
-            after = folded[m.end() : m.end() + 1]
-            if (after.isalnum() and not _east(after)) or after in ("'", "-", "_", "@") or taken.meets(start, m.end()):
-                continue
-            features = _name_features(form, m, folded, lower, lexicon, cues)
-            if features:
-                out.append(Candidate("name", start, m.end(), features))
+def candidates(batch: Batch) -> dict[str, Found]:
+    """All candidates of a batch by model."""
+    out = {"email": _emails(batch)}
+    numbers = _numbers(batch, out["email"])
+    out["phone"] = out["id_number"] = numbers
+    out["address"] = _addresses(batch)
+    out["name"] = _names(batch, [out["email"], numbers], out["address"])
+    out["east"] = _east_names(batch)
     return out
 
 
-def _emails(folded: str) -> list[Candidate]:
-    """Addresses around the signs that they must have, so a text is not searched word by word."""
-    found: dict[tuple[int, int], Candidate] = {}
-    for i, (marker, pattern) in enumerate(zip(_MARKERS, _EMAILS, strict=True)):
-        for sign in marker.finditer(folded):
-            for m in pattern.finditer(folded, max(0, sign.start() - _REACH), sign.end() + _REACH):
-                if m.start() < sign.start() < m.end():
+def _emails(batch: Batch) -> Found:
+    """Around the signs that an address must have, so a text is not searched word by word."""
+    text, found, p = batch.text, {}, batch.points
+    low = p | 0x20
+    bracket = np.flatnonzero(np.isin(p, [0x28, 0x5B, 0x7B]) & (np.roll(low, -1) == 0x61) & (np.roll(low, -2) == 0x74) & np.isin(np.roll(p, -3), [0x29, 0x5D, 0x7D]))
+    signs = [np.sort(np.concatenate([np.flatnonzero(p == 0x40), bracket])).tolist(), []]
+    at = batch.lower.find(" dot ")
+    while at >= 0:
+        a = max(0, at - _REACH)
+        signs[1] += [m.start() for m in _SPELLED.finditer(batch.lower, a, at + 5) if m.end() == at + 5]
+        at = batch.lower.find(" dot ", at + 1)
+    for i, pattern in enumerate(_EMAILS):
+        for sign in signs[i]:
+            for m in pattern.finditer(text, max(0, sign - _REACH), sign + _REACH):
+                if m.start() < sign < m.end():
                     s = m[0]
-                    found[m.span()] = Candidate("email", *m.span(), (float(i), float("@" in s), float(s.count(".")), float(len(s)), float(bool(_TOP.search(s))), float(s.count(" "))))
+                    found[m.span()] = (float(i), float("@" in s), float(s.count(".")), float(len(s)), float(s[-2:].isalpha()), float(s.count(" ")))
                     break
-                if m.start() > sign.start():
+                if m.start() > sign:
                     break
-    return [found[k] for k in sorted(found)]
-
-
-def _numbers(patterns: list, folded: str, lower: str, taken: _Spans) -> list[Candidate]:
-    out, seen = [], set()
-    for pattern in patterns:
-        for m in pattern.finditer(folded):
-            start, end = m.span()
-            digits = sum(c.isdigit() for c in m[0])
-            if (start, end) in seen or (digits and not 7 - any(c.isalpha() for c in m[0]) <= digits <= 16) or taken.meets(start, end):
-                continue
-            seen.add((start, end))
-            features = _number_features(folded, lower, start, end)
-            out += [Candidate("id_number", start, end, features), Candidate("phone", start, end, features)]
-    return out
-
-
-def _name_starts(folded: str, lower: str, lexicon: Lexicon, cues: _Cues) -> list[int]:
-    """Beginnings of words that are capitalised, or near one that is like a known name, an initial, a particle or a person cue."""
-    words = [m.span() for m in _WORDS.finditer(folded)]
-    starts: set[int] = set()
-    for i, (a, b) in enumerate(words):
-        if (b - a == 1 and folded[b : b + 1] == ".") or any(lexicon.likeness(folded[a:b])):
-            starts.update(w[0] for w in words[max(0, i - _BEFORE) : i + 2])
-        elif folded[a].isupper():
-            starts.add(a)
-        if lower[a:b] in _PARTICLE_WORDS:
-            starts.update(w[0] for w in words[max(0, i - _BEFORE) : i + 1])
-    at = [w[0] for w in words]
-    for a, b in cues.spans:
-        starts.update(at[bisect_left(at, b) : bisect_left(at, b + _BESIDE + 1)])
-        i = bisect_left(at, a)
-        starts.update(at[max(0, i - 2 * _BEFORE) : i])
-    return sorted(starts)
-
-
-class _Cues:
-    """Words of a text that tell of a person."""
-
-    def __init__(self, lower: str):
-        self.spans = [m.span() for m in _CUES["person"].finditer(lower)]
-
-    def beside(self, start: int, end: int) -> bool:
-        return any(0 <= start - b <= _BESIDE or 0 <= a - end <= _BESIDE for a, b in self.spans)
-
-
-class _Spans:
-    """Spans in ascending order, of which it can be asked whether one meets another span."""
-
-    def __init__(self, spans: list[tuple[int, int]]):
-        self._starts, self._ends, most = [a for a, _ in spans], [], 0
-        for _, b in spans:
-            most = max(most, b)
-            self._ends.append(most)
-
-    def meets(self, start: int, end: int) -> bool:
-        i = bisect_left(self._starts, end)
-        return i > 0 and self._ends[i - 1] > start
+    spans = sorted(found)
+    start, end = _spans(spans)
+    own = np.array([found[s] for s in spans], np.float32).reshape(-1, 6)
+    return Found(start, end, np.hstack([own, batch.context(start, end)]))
+
+
+def _inside(start: np.ndarray, end: np.ndarray, of: Found) -> np.ndarray:
+    """Whether spans meet one of those, which do not overlap."""
+    if not len(of.start):
+        return np.zeros(len(start), bool)
+    reach = np.maximum.accumulate(of.end)
+    i = np.searchsorted(of.start, end) - 1
+    return (i >= 0) & (reach[np.maximum(i, 0)] > start)
+
+
+def _windows(batch: Batch) -> list[tuple[int, int]]:
+    """Stretches with so many digits, near one another, that a number may lie there."""
+    at = np.flatnonzero(batch.flags & DIGIT != 0)
+    if not len(at):
+        return []
+    cut = np.flatnonzero(np.diff(at) > 9) + 1
+    first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]]) - 1
+    keep = last - first + 1 >= 3
+    return list(zip((np.maximum(at[first[keep]] - 8, 0)).tolist(), (at[last[keep]] + 9).tolist(), strict=True))
+
+
+def _numbers(batch: Batch, emails: Found) -> Found:
+    """Runs of digit groups, all their parts of several groups, mixtures of letters and digits, and digits as words."""
+    text, found = batch.text, {}
+    for a, b in _windows(batch):
+        for m in _DIGITS.finditer(text, a, b):
+            groups = [g.span() for g in _GROUPS.finditer(text, m.start(), m.end())]
+            sizes = [y - x for x, y in groups]
+            after = text[m.end() : m.end() + 1]
+            if sum(sizes) >= _LEAST and not (after and (after.isascii() and after.isalnum() or after == "_")):
+                found[m.span()] = 0
+            if len(groups) > 1:
+                for i in range(len(groups)):
+                    n = 0
+                    for j in range(i, len(groups)):
+                        n += sizes[j]
+                        if n > 20:
+                            break
+                        if n >= 7:
+                            x, y = groups[i][0], groups[j][1]
+                            x -= text[x - 1] == "(" and text.find(")", x, y) > 0
+                            x -= text[x - 1] == "+"
+                            found.setdefault((x, y), 1)
+        for k, pattern in enumerate(_MIXED) if _HAS_LETTER.search(text, a, b) else ():
+            for m in pattern.finditer(text, a, b):
+                if _LEAST - 1 <= sum(c.isdigit() for c in m[0]) < len(m[0].replace(" ", "").replace("-", "")):
+                    found.setdefault(m.span(), 2 + k)
+    for m in batch.in_east(_KANJI_DIGITS):
+        found.setdefault(m.span(), 8)
+    word = np.flatnonzero(batch.info[:, Lexicon.NUMBER] > 0)
+    if len(word):
+        near = (np.diff(word) == 1) & (batch.starts[word[1:]] - batch.ends[word[:-1]] <= 2) & np.isin(batch.points[batch.ends[word[:-1]]], [32, 44, 45])
+        cut = np.flatnonzero(~near) + 1
+        for x, y in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(word)]]), strict=True):
+            if y - x >= _LEAST:
+                found.setdefault((int(batch.starts[word[x]]), int(batch.ends[word[y - 1]])), 9)
+    spans = sorted(found)
+    start, end = _spans(spans)
+    free = ~_inside(start, end, emails)
+    spans, start, end = [s for s, f in zip(spans, free, strict=True) if f], start[free], end[free]
+    own = np.array([_number_features(batch, a, b, found[a, b]) for a, b in spans], np.float32).reshape(len(spans), _NUMBER_WIDTH)
+    mails = batch.distances((emails.start, emails.end), start, end, *batch.sentence(start, end))
+    return Found(start, end, np.hstack([own, np.column_stack(mails).astype(np.float32), batch.context(start, end)]))
+
+
+_NUMBER_WIDTH = 27
+
+
+def _number_features(batch: Batch, start: int, end: int, form: int) -> tuple:
+    text = batch.text
+    s, before, after = text[start:end], text[max(0, start - 6) : start].rpartition(SEPARATOR)[2], text[end : end + 12]
+    groups, letters = _GROUPS.findall(s), _LETTERS.findall(s)
+    sizes = [len(g) for g in groups] or [0]
+    digits = "".join(groups)
+    count = sum(map(len, letters)) if form != 9 else 0
+    prefix = len(letters[0]) if letters and form != 9 and not s[0].isdigit() else 0
+    return (
+        form, len(digits), len(groups), sizes[0], sizes[1] if len(sizes) > 1 else 0, sizes[-1], max(sizes), count, prefix, bool(letters) and s[-1].isalpha(), s[0] == "+", s[0] == "(",
+        digits[:1] == "0", digits[:2] == "00", int(digits[:1] or 0), "." in s, "-" in s, "/" in s, " " in s, "#" in before[-2:], bool(_DATE.match(s)), bool(_MONEY.search(before.lower())), bool(_UNITS.match(after.lower())),
+        len(before) > 1 and before[-2].isdigit() or before[-1:].isdigit(), after[:1] in (" ", "-", "/", ".") and after[1:2].isdigit(), s.islower(), len(end_of) if (end_of := s[s.rfind(" ") + 1 :]) else 0,
+    )
 
 
-def _east(c: str) -> bool:
-    return ord(c) > 0x3000
+def _addresses(batch: Batch) -> Found:
+    """Around words for streets that have a digit near."""
+    text, found = batch.text, {}
+    street = batch.info[:, Lexicon.STREET].astype(np.int64)
+    hit = np.flatnonzero(street)
+    a, b = np.maximum(batch.starts[hit] - 60, 0), np.minimum(batch.ends[hit] + 60, len(text) - 1)
+    hit, a, b = (x[batch.digits[b] > batch.digits[a]] for x in (hit, a, b))
+    for i, x, y in zip(hit.tolist(), a.tolist(), b.tolist(), strict=True):
+        kind = street[i]
+        for form in ((0,) if kind & 1 else ()) + ((1, 2) if kind & 2 else ()) + ((3,) if kind & 5 else ()):
+            for m in _ADDRESSES[form].finditer(text, x, y, overlapped=True):
+                if m.start() <= batch.starts[i] < m.end() or m.end() == batch.ends[i]:
+                    found[m.span()] = form
+    lower = batch.lower
+    # a German preposition, a capitalised word and a number
+    n = len(batch.starts)
+    head = np.arange(max(0, n - 1))
+    small = batch.info[head, Lexicon.PREPOSITION] > 0
+    behind = batch.ends[head + 1]
+    number = batch.flags[np.minimum(behind + 1, len(text) - 1)] & DIGIT != 0
+    for i in head[small & (batch.case[head + 1] == 1) & (batch.points[np.minimum(behind, len(text) - 1)] == 32) & number].tolist():
+        begin = int(batch.starts[i - 1] if i and batch.words[i] in ("der", "den") and batch.words[i - 1] in ("an", "in", "auf", "unter") else batch.starts[i])
+        m = _PREPOSED.match(text, begin)
+        if m:
+            found.setdefault(m.span(), 5)
+    for m in batch.in_east(_ADDRESSES[4], True):
+        found.setdefault(m.span(), 4)
+    spans = sorted(found)
+    own = []
+    for x, y in spans:
+        s = text[x:y]
+        words, numbers = regex.findall(_NW, s), _GROUPS.findall(s)
+        own.append((
+            found[x, y], sum(w[0].isupper() for w in words), len(words), sum(w.islower() for w in words), len(numbers[0]) if numbers else 0, int(numbers[0][:6]) if numbers else 0, "," in s, len(s),
+            bool(_ENGLISH_HEAD.search(lower[max(0, x - 20) : x])), bool(_UNITS.match(lower, y)), s[0].isdigit(), s.isupper(), min((batch.lexicon.usual(w.lower()) for w in words), default=17.0), np.mean([batch.lexicon.usual(w.lower()) for w in words] or [17.0]),
+            bool(_MONEY.search(lower[max(0, x - 6) : x])), bool(regex.match(r",? ?(?:[A-Z0-9]|\d{4,5})", text[y : y + 4])), sum(s.lower().startswith(w) for w in ("am ", "im ", "zum ", "zur ", "an ", "auf ", "unter ", "flat ", "apt", "unit ")),
+        ))
+    start, end = _spans(spans)
+    return Found(start, end, np.hstack([np.array(own, np.float32).reshape(len(spans), 17), batch.context(start, end)]))
+
+
+def _names(batch: Batch, contacts: list[Found], addresses: Found) -> Found:
+    """Pairs of words: given and family name, with initials and particles between, in either order, or an initial for the given
+    name. A pair is proposed when it is capitalised, or when one of its words is like a given name, or when it stands beside
+    a word that tells of a person, a form of address, a way to reach one, or Japanese text."""
+    n = len(batch.starts)
+    if n < 2:
+        return Found(*_spans([]), np.zeros((0, _NAME_WIDTH + len(_no_context(batch))), np.float32))
+    p, starts, ends, case, info = batch.points, batch.starts, batch.ends, batch.case, batch.info
+    nxt = np.minimum(np.arange(n) + 1, n - 1)
+    gap = starts[nxt] - ends
+    last = np.arange(n) == n - 1
+    first_after, second_after = p[ends], p[np.minimum(ends + 1, len(p) - 1)]
+    letters = ends - starts
+    space = ~last & (gap == 1) & (first_after == 32)
+    initial = (letters == 1) & (first_after == 0x2E) & (batch.flags[starts] & LETTER != 0)
+    dotted = ~last & initial & ((gap == 1) | ((gap == 2) & (second_after == 32)))
+    comma = ~last & (first_after == 0x2C) & ((gap == 1) | ((gap == 2) & (second_after == 32)))
+    particle = info[:, Lexicon.PARTICLE] > 0
+    # beyond initials and particles that follow place i
+    over = np.arange(n)
+    for _ in range(2):
+        over = np.where(dotted[over] & ~last[over], nxt[over], over)
+    after_initials = over
+    for _ in range(3):
+        over = np.where(particle[over] & space[over], nxt[over], over)
+    glued, capital = batch.glued, (case == 1) | (case == 2) | (case == 4)
+    given_ok = ~glued & ~initial & (letters > 1)
+    family_ok = ~batch.glued & (letters > 1) & ~initial
+    forms = []
+
+    def add(form, head, tail, begin, end_word, good):
+        at = np.flatnonzero(good)
+        if len(at):
+            forms.append((np.full(len(at), form), head[at], tail[at], begin[at], end_word[at]))
+
+    here = np.arange(n)
+    follow = np.where(space, nxt, -1)
+    f = np.where(follow >= 0, over[np.maximum(follow, 0)], -1)
+    good = given_ok & space & (f >= 0) & family_ok[np.maximum(f, 0)]
+    add(0, here, f, starts, np.where(f >= 0, f, 0), good)
+    # a second family name, or a middle name
+    f2 = np.where((f >= 0) & space[np.maximum(f, 0)], nxt[np.maximum(f, 0)], -1)
+    add(1, here, f2, starts, np.where(f2 >= 0, f2, 0), good & (f2 >= 0) & family_ok[np.maximum(f2, 0)] & (case[np.maximum(f2, 0)] == case[np.maximum(f, 0)]) & capital)
+    # initials for the given name
+    g = np.where(dotted, over[nxt], -1)
+    before = np.maximum(here - 1, 0)
+    add(2, here, g, starts, np.where(g >= 0, g, 0), dotted & ~glued & (g >= 0) & family_ok[np.maximum(g, 0)] & ~(dotted[before] & (here > 0)))
+    # family, given [initial]; particles before the family
+    begin = starts.copy()
+    behind = here.copy()
+    for _ in range(3):
+        prev = np.maximum(behind - 1, 0)
+        step = (behind > 0) & particle[prev] & space[prev] & ~glued[prev]
+        behind = np.where(step, prev, behind)
+    begin = starts[behind]
+    add(3, nxt, here, begin, nxt, comma & family_ok & given_ok[nxt])
+    add(4, nxt, here, begin, nxt, comma & family_ok & initial[nxt])
+    if not forms:
+        return Found(*_spans([]), np.zeros((0, _NAME_WIDTH + len(_no_context(batch))), np.float32))
+    form, g, f, start, end_word = (np.concatenate(x) for x in zip(*forms, strict=True))
+    end = ends[end_word] + (form == 4)
+    # what makes a pair worth a look
+    usual = info[:, Lexicon.SMALL]
+    shaped = capital[f] & (capital[g] | (form == 2) | (form == 4))
+    near = np.zeros(len(form), bool)
+    left, right = batch.sentence(start, end)
+    for kind in ("closing", "title", "relation", "speech", "service", "self"):
+        a, b = batch.distances(batch.cues[KINDS_OF_CUES.index(kind)], start, end, left, right)
+        near |= (a <= 12) | (b <= 3)
+    reach = [batch.distances((c.start, c.end), start, end, left, right) for c in [*contacts, addresses]]
+    for a, b in reach:
+        near |= (a <= 3) | (b <= 4)
+    east = (batch.flags[np.minimum(end, len(p) - 1)] & EAST != 0) | (batch.flags[start - 1] & EAST != 0)
+    like = (info[g, Lexicon.LIKE] > 0) | (info[f, Lexicon.LIKE] > 0) | (info[g, Lexicon.COMMON_GIVEN] > 0)
+    odd = np.maximum(usual[g], usual[f]) >= 17
+    keep = shaped | like | east | (near & odd) | ((case[g] == 3) & near)
+    keep &= ~(_inside(start, end, contacts[0]))
+    form, g, f, start, end, end_word = (x[keep] for x in (form, g, f, start, end, end_word))
+    reach = [(a[keep], b[keep]) for a, b in reach]
+    order = np.lexsort((end, start))
+    form, g, f, start, end, end_word = (x[order] for x in (form, g, f, start, end, end_word))
+    reach = [(a[order], b[order]) for a, b in reach]
+    # the words around, and how far a stretch of capitalised words goes on
+    head = np.minimum(np.searchsorted(starts, start), n - 1)
+    prev, follow = np.maximum(head - 1, 0), np.minimum(end_word + 1, n - 1)
+    text_of = batch.texts_of(starts)
+    has_prev = (head > 0) & (start - ends[prev] <= 3) & (text_of[prev] == text_of[head])
+    has_next = (end_word < n - 1) & (starts[follow] - end <= 3) & (text_of[follow] == text_of[head])
+    beside_prev = (start - ends[prev] == 1) & (p[ends[prev]] == 32)
+    beside_next = (starts[follow] - end == 1) & (p[np.minimum(end, len(p) - 1)] == 32)
+    run = np.zeros(len(form))
+    honorific = np.zeros(len(form), np.float32)
+    east = batch.flags[np.minimum(end, len(p) - 1)] & EAST != 0
+    for i in np.flatnonzero(east):
+        honorific[i] = bool(_HONORIFIC.match(batch.text, int(end[i])))
+    run = (beside_prev & capital[prev]).astype(float) + (beside_next & capital[follow])
+    own = [form, case[g], case[f], case[g] == case[f], letters[g], letters[f], end_word - head, start != starts[head], p[start] == 0, particle[np.maximum(f - 1, 0)] & (f > g), (form == 0) & (after_initials[np.minimum(g + 1, n - 1)] > np.minimum(g + 1, n - 1)), honorific, run]
+    for w in (g, f):
+        i = info[w]
+        cue = i[:, Lexicon.CUE].astype(np.int64)
+        own += [i[:, Lexicon.LISTED], i[:, Lexicon.LIKE], i[:, Lexicon.COMMON_GIVEN], i[:, Lexicon.COMMON_FAMILY], i[:, Lexicon.SMALL], i[:, Lexicon.CAPITAL], i[:, Lexicon.CAPITAL] - i[:, Lexicon.SMALL], i[:, Lexicon.BRAND], i[:, Lexicon.SPECIAL], i[:, Lexicon.STREET] > 0, i[:, Lexicon.PARTICLE], cue != 0, cue >> KINDS_OF_CUES.index("day") & 1, (cue & 0b1110111) != 0]
+    for w, there in ((prev, has_prev), (follow, has_next)):
+        i = info[w]
+        own += [np.where(there, case[w], -1), np.where(there, i[:, Lexicon.SMALL], -1), np.where(there, i[:, Lexicon.CAPITAL], -1), np.where(there, i[:, Lexicon.STREET], -1), there & (i[:, Lexicon.BRAND] > 0), np.where(there, letters[w], -1), there & (i[:, Lexicon.LIKE] > 0)]
+    for a, b in reach:
+        own += [a, b]
+    own.append(_inside(start, end, addresses))
+    return Found(start, end, np.hstack([np.column_stack(own).astype(np.float32), batch.context(start, end)]))
+
+
+_NAME_WIDTH = 13 + 28 + 14 + 6 + 1
+
+
+def _no_context(batch: Batch) -> np.ndarray:
+    none = np.zeros(1, np.int64) + 1
+    return batch.context(none, none)[0]
+
+
+def _east_names(batch: Batch) -> Found:
+    """Names in kanji and kana: set apart by a space or a dot, before a form of address, after a word for a person, or standing
+    alone. Of a run of kanji before a form of address, each end that may be the name is proposed."""
+    text, found = batch.text, {}
+    if batch.east:
+        for form, pattern in enumerate(_EAST_NAMES):
+            for m in batch.in_east(pattern):
+                a, b = m.span()
+                found.setdefault((a, b), form)
+                if form in (1, 2):
+                    for size in range(2, 8):
+                        if form == 1 and b - size > a:
+                            found.setdefault((b - size, b), 1)
+                        if form == 2 and a + size < b:
+                            found.setdefault((a, a + size), 2)
+    spans = sorted(found)
+    own = []
+    for a, b in spans:
+        s, before, after = text[a:b], text[a - 1], text[b : b + 1]
+        kanji = sum(0x4E00 <= ord(c) <= 0x9FFF or c == "々" for c in s)
+        own.append((
+            found[a, b], b - a, kanji, s[:2] in FAMILY_KANJI or s[:3] in FAMILY_KANJI, s[:1] in FAMILY_KANJI, any(c in " ・=" for c in s), bool(_HONORIFIC.match(text, b)), text.startswith("様", b), 0x4E00 <= ord(before) <= 0x9FFF, 0x4E00 <= ord(after or " ") <= 0x9FFF,
+            0x3040 <= ord(before) <= 0x30FF, 0x3040 <= ord(after or " ") <= 0x30FF, _usual_kanji(s, batch.lexicon), s[-1] in "子郎太美一介樹香奈恵雄夫男也人平彦代江花菜翔斗真大輝", text.startswith(("と申", "という", "と名"), b), kanji == b - a,
+        ))
+    start, end = _spans(spans)
+    return Found(start, end, np.hstack([np.array(own, np.float32).reshape(len(spans), 16), batch.context(start, end)]))
+
+
+def _usual_kanji(s: str, lexicon: Lexicon) -> float:
+    """How usual the first two characters are as a word."""
+    return min((float(np.log2(2 + r[s[:2].encode()])) for r in lexicon.ranks if s[:2].encode() in r), default=17.0)
+
+
+__all__ = ["FAR", "KINDS", "MODELS", "Found", "candidates"]

@@ -123,3 +123,20 @@ def test_packing(spark, parts, most):
     assert len(fill) <= 1.1 * sum(wanted) / 512 + 2
     assert sum(x["piece"] == 1 for x in rows) == sum(n > 512 for n in wanted)
     assert pack(df.where("false"), "doc", "n", 512).count() == 0
+
+
+def test_vocabularies_with_unreachable_tokens():
+    """Small random vocabularies, many with tokens that no merge leads to, against the definition."""
+    import random
+
+    r = random.Random(3)
+    for _ in range(60):
+        tokens = [bytes([b]) for b in range(256)]
+        while len(tokens) < 256 + r.randrange(2, 14):
+            t = bytes(r.choice(b"abc") for _ in range(r.randrange(2, 6)))
+            if t not in tokens:
+                tokens.append(t)
+        v = Vocabulary({t: i for i, t in enumerate(tokens)})
+        for _ in range(40):
+            data = "".join(r.choice("abc") for _ in range(r.randrange(1, 60)))
+            assert [v.tokens[i] for i in v.piece(data)] == v.merged(data.encode())

@@ -57,13 +57,17 @@ class BoostedTrees:
             self.trees.append((feature, cut, value))
             margin += value[node]
 
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        total, rows = np.full(len(x), self.bias), np.arange(len(x))
-        for feature, cut, value in self.trees:
-            node = np.zeros(len(x), int)
-            for f, c in zip(feature, cut, strict=True):
-                node = 2 * node + (x[rows, f[node]] >= c[node])
-            total += value[node]
+    def margin(self, x: np.ndarray, block: int = 4096) -> np.ndarray:
+        """The trees' sum for each row, a block of rows at a time so that its features stay near."""
+        total, width = np.full(len(x), self.bias), x.shape[1]
+        for at in range(0, len(x), block):
+            part = np.ascontiguousarray(x[at : at + block])
+            flat, base = part.ravel(), np.arange(len(part)) * width
+            for feature, cut, value in self.trees:
+                node = np.zeros(len(part), np.int64)
+                for f, c in zip(feature, cut, strict=True):
+                    node = 2 * node + (flat.take(base + f.take(node)) >= c.take(node))
+                total[at : at + block] += value.take(node)
         return total
 
     def probability(self, x: np.ndarray) -> np.ndarray:

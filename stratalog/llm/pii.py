@@ -9,7 +9,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 
 from stratalog.llm.boosting import BoostedTrees
 from stratalog.llm.bpe import TOKENIZERS, Vocabulary
@@ -132,6 +133,18 @@ def _labelled(writer: Writer, texts: int, lexicon: Lexicon) -> dict[str, tuple[n
     return {k: (np.vstack(rows[k]), np.array(labels[k])) for k in MODELS}
 
 
+_SENT: dict[tuple[str, int], tuple[Detector, Broadcast]] = {}
+
+
+def _sent(spark: SparkSession, detector: Detector) -> Broadcast:
+    """The detector, sent to the workers once per application. Its size does not depend on the data: trees, lists of bounded
+    length, and the words of vocabularies of bounded size. A worker keeps it, and what it has learned of words, for all its tasks."""
+    key = (spark.sparkContext.applicationId, id(detector))
+    if key not in _SENT:
+        _SENT[key] = detector, spark.sparkContext.broadcast(detector)
+    return _SENT[key][1]
+
+
 def find(df: DataFrame, detector: Detector, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, kind, first_char)``: one row per mention; no shuffle.
 
@@ -139,8 +152,10 @@ def find(df: DataFrame, detector: Detector, id: str = "doc_id", text: str = "tex
     itself, and ids may be null. Other columns are ignored. Offsets count code points.
     """
 
+    sent = _sent(df.sparkSession, detector)
+
     def run(batches):
-        for ids, texts, mentions in _found(batches, detector):
+        for ids, texts, mentions in _found(batches, sent.value):
             flat = [(i, k, a) for i, one in enumerate(mentions) for k, a, _ in one]
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array([f[0] for f in flat], pa.int64())), pa.array([f[1] for f in flat], pa.string()), pa.array([f[2] for f in flat], pa.int64())], ["id", "kind", "first_char"]
@@ -152,9 +167,11 @@ def find(df: DataFrame, detector: Detector, id: str = "doc_id", text: str = "tex
 def redact(df: DataFrame, detector: Detector, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, text)`` with each mention replaced by ``[KIND]``; null stays null, all else is unchanged."""
 
+    sent = _sent(df.sparkSession, detector)
+
     def run(batches):
-        for ids, texts, mentions in _found(batches, detector):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([detector.redacted(t, m) for t, m in zip(texts, mentions, strict=True)], pa.string())], ["id", "text"])
+        for ids, texts, mentions in _found(batches, sent.value):
+            yield pa.RecordBatch.from_arrays([ids, pa.array([sent.value.redacted(t, m) for t, m in zip(texts, mentions, strict=True)], pa.string())], ["id", "text"])
 
     return in_arrow(spread(df.select(df[id].alias("id"), df[text].alias("text"))), run, f"id {dict(df.dtypes)[id]}, text string").toDF(id, "text")
 

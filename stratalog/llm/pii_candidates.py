@@ -151,7 +151,7 @@ def _windows(batch: Batch) -> list[tuple[int, int]]:
         return []
     cut = np.flatnonzero(np.diff(at) > 9) + 1
     first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]]) - 1
-    keep = last - first + 1 >= 3
+    keep = last - first + 1 >= _LEAST - 1
     return list(zip((np.maximum(at[first[keep]] - 8, 0)).tolist(), (at[last[keep]] + 9).tolist(), strict=True))
 
 
@@ -322,24 +322,25 @@ def _names(batch: Batch, contacts: list[Found], addresses: Found) -> Found:
     # what makes a pair worth a look
     usual = info[:, Lexicon.SMALL]
     shaped = capital[f] & (capital[g] | (form == 2) | (form == 4))
-    near = np.zeros(len(form), bool)
-    left, right = batch.sentence(start, end)
+    east = (batch.flags[np.minimum(end, len(p) - 1)] & EAST != 0) | (batch.flags[start - 1] & EAST != 0)
+    like = (info[g, Lexicon.LIKE] > 0) | (info[f, Lexicon.LIKE] > 0) | (info[g, Lexicon.COMMON_GIVEN] > 0)
+    keep = shaped | like | east
+    # of the others, those of which a word is in no vocabulary or of a script without case, beside something that tells of a person
+    ask = np.flatnonzero(~keep & ((np.maximum(usual[g], usual[f]) >= 17) | (case[g] == 3)))
+    places, near = (start[ask], end[ask], *batch.sentence(start[ask], end[ask])), np.zeros(len(ask), bool)
     for kind in ("closing", "title", "relation", "speech", "service", "self"):
-        a, b = batch.distances(batch.cues[KINDS_OF_CUES.index(kind)], start, end, left, right)
+        a, b = batch.distances(batch.cues[KINDS_OF_CUES.index(kind)], *places)
         near |= (a <= 12) | (b <= 3)
-    reach = [batch.distances((c.start, c.end), start, end, left, right) for c in [*contacts, addresses]]
-    for a, b in reach:
+    for c in (*contacts, addresses):
+        a, b = batch.distances((c.start, c.end), *places)
         near |= (a <= 3) | (b <= 4)
-    east = (batch.flags[np.minimum(end, len(p) - 1)] & EAST != 0) | (batch.flags[start - 1] & EAST != 0)
-    like = (info[g, Lexicon.LIKE] > 0) | (info[f, Lexicon.LIKE] > 0) | (info[g, Lexicon.COMMON_GIVEN] > 0)
-    odd = np.maximum(usual[g], usual[f]) >= 17
-    keep = shaped | like | east | (near & odd) | ((case[g] == 3) & near)
+    keep[ask[near]] = True
     keep &= ~(_inside(start, end, contacts[0]))
     form, g, f, start, end, end_word = (x[keep] for x in (form, g, f, start, end, end_word))
-    reach = [(a[keep], b[keep]) for a, b in reach]
     order = np.lexsort((end, start))
     form, g, f, start, end, end_word = (x[order] for x in (form, g, f, start, end, end_word))
-    reach = [(a[order], b[order]) for a, b in reach]
+    borders = batch.sentence(start, end)
+    reach = [batch.distances((c.start, c.end), start, end, *borders) for c in (*contacts, addresses)]
     # the words around, and how far a stretch of capitalised words goes on
     head = np.minimum(np.searchsorted(starts, start), n - 1)
     prev, follow = np.maximum(head - 1, 0), np.minimum(end_word + 1, n - 1)

@@ -20,9 +20,10 @@ def retain(log: DataFrame, watermark: int = NEWEST, bottom: bool = False, runs:
     A null version lies at or below every watermark. Null keys are left out. An empty log gives no rows.
     """
     rows = log.where("key is not null")
-    above = deduplicated(rows.where(F.col("version") > watermark), runs)
-    floor = rows.where(F.col("version").isNull() | (F.col("version") <= watermark)).groupBy("key").agg(F.max(record(runs)).alias("r"))
-    floor = floor.select("key", "r.version", "r.tombstone", "r.value")
+    floor = rows if watermark >= NEWEST else rows.where(F.col("version").isNull() | (F.col("version") <= watermark))
+    floor = floor.groupBy("key").agg(F.max(record(runs)).alias("r")).select("key", "r.version", "r.tombstone", "r.value")
     if bottom:
         floor = floor.where(~F.col("tombstone"))
-    return above.unionByName(floor)
+    if watermark >= NEWEST:  # no version lies above
+        return floor
+    return deduplicated(rows.where(F.col("version") > watermark), runs).unionByName(floor)

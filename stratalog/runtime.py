@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
+#: Up to so many files the driver reads the footers itself, this many at a time; beyond, a Spark job does.
+FOOTERS, AT_ONCE = 256, 8
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can read and write.
 
@@ -262,6 +266,21 @@ class SharedFiles:
             raise CommitConflict(path) from e
 
 
+def open_footer(spark: SparkSession, path: str):
+    """A reader of a Parquet file that has read its footer only; to be closed."""
+    jvm = spark._jvm
+    place = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration())
+    return jvm.org.apache.parquet.hadoop.ParquetFileReader.open(place)
+
+
+def footer_rows(spark: SparkSession, path: str) -> int:
+    reader = open_footer(spark, path)
+    try:
+        return reader.getRecordCount()
+    finally:
+        reader.close()
+
+
 class CommitConflict(RuntimeError):
     """Another writer already published this version."""
 

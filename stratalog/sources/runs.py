@@ -9,15 +9,13 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.runtime import SharedFiles
+from stratalog.runtime import AT_ONCE, FOOTERS, SharedFiles, footer_rows, open_footer
 from stratalog.schema import RUN_LOG
 
 #: Version of the layout; a manifest with another one is refused.
 FORMAT = 2
 #: Spark's names of the codecs for blocks.
 CODECS = {"none": "uncompressed", "lz4": "lz4_raw", "zstd": "zstd", "snappy": "snappy"}
-#: Up to so many files the driver reads the footers itself, this many at a time; beyond, a Spark job does.
-FOOTERS, AT_ONCE = 256, 8
 
 
 class DamagedRun(RuntimeError):
@@ -75,7 +73,8 @@ def write_runs(spark: SparkSession, root: str, log: DataFrame, level: int, seq:
 
     Only a key with more records than a run takes spans several runs; reads go by version, never by run, and a merge takes
     all runs that share a key. The files become visible when a manifest lists them. Parquet keeps min, max and a Bloom
-    filter or dictionary of the keys per row group; ``distinct_keys``, by default unknown, sizes the filter of a run. What
+    filter or dictionary of the keys per row group; ``distinct_keys`` sizes the filter of a run, without it the writer picks
+    the size that its keys turn out to need. What
     the manifest says of a run comes from the file's footer, so nothing is read again.
     """
     folder = f"runs/{uuid.uuid4().hex}"
@@ -87,6 +86,8 @@ def write_runs(spark: SparkSession, root: str, log: DataFrame, level: int, seq:
     )
     if distinct_keys:
         writer = writer.option("parquet.bloom.filter.expected.ndv#key", str(max(1, -(-distinct_keys // parts))))
+    else:
+        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
     writer.parquet(f"{root}/{folder}")
     found = describe(spark, root, [(f"{folder}/{n}", size) for n, size in SharedFiles(spark).sizes(f"{root}/{folder}") if n.endswith(".parquet")])
     filled = sorted((f for f in found if f["entry_count"]), key=lambda f: f["path"])
@@ -113,9 +114,7 @@ def describe(spark: SparkSession, root: str, files: list[tuple[str, int]]) -> li
 
 def _footer(spark: SparkSession, path: str) -> dict | None:
     """METADATA from a footer, None if it does not have all of it. A footer that can't be read raises."""
-    jvm = spark._jvm
-    place = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration())
-    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(place)
+    reader = open_footer(spark, path)
     try:
         blocks = [(b.getRowCount(), {c.getPath().toDotString(): c for c in b.getColumns()}) for b in reader.getFooter().getBlocks()]
     finally:
@@ -158,7 +157,7 @@ def check_runs(spark: SparkSession, root: str, runs: list[Run]) -> None:
     try:
         if len(runs) <= FOOTERS:
             with ThreadPoolExecutor(AT_ONCE) as pool:
-                counts = dict(zip(counts, pool.map(lambda r: _rows(spark, f"{root}/{r.path}"), runs), strict=True))
+                counts = dict(zip(counts, pool.map(lambda r: footer_rows(spark, f"{root}/{r.path}"), runs), strict=True))
         else:  # no column is read, so the readers open nothing but the footers
             log = spark.read.schema(RUN_LOG).parquet(*[f"{root}/{r.path}" for r in runs])
             counts |= {r["file"]: r["n"] for r in log.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n")).toLocalIterator()}
@@ -169,15 +168,6 @@ def check_runs(spark: SparkSession, root: str, runs: list[Run]) -> None:
             raise DamagedRun(f"run {r.path} has {counts[r.path.rpartition('/')[2]]} records, not {r.entry_count}")
 
 
-def _rows(spark: SparkSession, path: str) -> int:
-    jvm = spark._jvm
-    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration()))
-    try:
-        return reader.getRecordCount()
-    finally:
-        reader.close()
-
-
 def read_runs(spark: SparkSession, root: str, runs: list[Run]) -> DataFrame:
     """The records of runs in one scan; page checksums are verified. A file that is gone is an error, never an empty run."""
     if not runs:

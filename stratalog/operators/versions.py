@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ def assign_versions(rows: DataFrame, order: list[str], first: int = 1, into: str
 
 def _rows_of_parts(placed: DataFrame) -> Counter[int]:
     """Rows of each partition of a written table, from the footers: its files have the partition's number in their names."""
-    files, counts = placed.inputFiles(), Counter()
+    files, counts = [unquote(f) for f in placed.inputFiles()], Counter()
     if len(files) <= FOOTERS:
         with ThreadPoolExecutor(AT_ONCE) as pool:
             found = list(zip(files, pool.map(lambda f: footer_rows(placed.sparkSession, f), files), strict=True))

@@ -169,10 +169,15 @@ def check_runs(spark: SparkSession, root: str, runs: list[Run]) -> None:
 
 
 def read_runs(spark: SparkSession, root: str, runs: list[Run]) -> DataFrame:
-    """The records of runs in one scan; page checksums are verified. A file that is gone is an error, never an empty run."""
+    """The records of runs in one scan; page checksums are verified. A file that is gone is an error, never an empty run.
+
+    Parquet's dictionary filter is off: it copies a dictionary 8 KiB at a time, which the decoder of lz4_raw can't do, so a
+    predicate on a run with a larger one would fail. As runs are sorted, the bounds of pages leave about a page to read for a key.
+    """
     if not runs:
         return spark.createDataFrame([], RUN_LOG)
-    return spark.read.schema(RUN_LOG).option("parquet.page.verify-checksum.enabled", "true").parquet(*[f"{root}/{r.path}" for r in runs])
+    options = {"parquet.page.verify-checksum.enabled": "true", "parquet.filter.dictionary.enabled": "false"}
+    return spark.read.schema(RUN_LOG).options(**options).parquet(*[f"{root}/{r.path}" for r in runs])
 
 
 class RunCache:
